@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import formula_text
 from lodestrata.llm.collapse import assign_keepers
+from lodestrata.llm.leaks import find_leaks
+from lodestrata.llm.mixing import mix
 from lodestrata.llm.near_duplicates import classes_and_links, expand_pairs
+from lodestrata.llm.reading import reading_levels
 from lodestrata.llm.top_items import top_n
 
 
@@ -57,7 +60,33 @@ def p5_copies(spark: SparkSession, sf: str) -> DataFrame:
     return found.filter("id = keep_id").select(F.when(F.col("part") == 0, "final_pool").otherwise("aa_trajectory").alias("tab"), "keep_id", "n_copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_top": p4_top, "p5_found": p5_found, "p5_copies": p5_copies}
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    documents = _table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    items = _table(spark, sf, "eval_items").select("item_id", F.explode(F.array(F.struct(F.lit("passage").alias("side"), F.col("passage").alias("text")), F.struct(F.lit("ref_text").alias("side"), F.col("ref_text").alias("text")))).alias("s")).select("item_id", "s.*")
+    return find_leaks(documents, items)
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_report(spark, sf).filter("exact_windows > 0").select("doc_id", "item_id").distinct()
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mix(_table(spark, sf, "documents"), _table(spark, sf, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mix(_table(spark, sf, "documents"), _table(spark, sf, "mix_targets"))[1]
+
+
+def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return reading_levels(_table(spark, sf, "documents"), _table(spark, sf, "reading_labels"), "lang")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_levels(spark, sf).filter("level = 4").select("doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_top": p4_top, "p5_found": p5_found, "p5_copies": p5_copies, "p6_found": p6_found, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_levels": p8_levels}
 
 _P4 = """
 SELECT {columns} FROM (
