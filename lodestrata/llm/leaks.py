@@ -70,6 +70,9 @@ class PassageIndex:
             self.codes.append(codes)
             self.starts.append(starts)
         self.least = np.array(least, np.int64)
+        sizes = np.array([len(c) for c in self.codes], np.int64)
+        self.base = np.cumsum(sizes) - sizes
+        self.all_codes = np.concatenate(self.codes) if self.codes else np.empty(0, np.uint32)
         if gram:
             g, s, p = np.concatenate(gram), np.concatenate(side), np.concatenate(pos)
             order = np.argsort(g, kind="stable")
@@ -79,8 +82,8 @@ class PassageIndex:
         else:
             self.gram = np.empty(0, np.uint64)
 
-    def candidates(self, codes: np.ndarray, doc: np.ndarray) -> Iterator[np.ndarray]:
-        """Rows (doc, side, diagonal band) whose shared q-grams meet the bound; codes of many texts, one after another.
+    def candidates(self, codes: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(doc, side, diagonal band, windows) whose shared q-grams meet the bound; codes of many texts, one after another.
 
         Bands are 2 * (edits + 1) diagonals wide and overlap by half, so that an alignment within the budget lies
         whole in one of them.
@@ -105,43 +108,58 @@ class PassageIndex:
             k = np.repeat(self.first[at[h]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             where = np.repeat(h, n)
             band = (where - self.pos[k]) // step  # position in all texts: the text follows from it
-            row = np.stack([np.concatenate([doc[where]] * 2), np.concatenate([self.side[k]] * 2), np.concatenate([band, band - 1])], 1)
-            order = np.lexsort((row[:, 2], row[:, 1], row[:, 0]))
-            row = row[order]
-            new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]).any(1)])
-            size = np.diff(np.r_[new, len(row)])
-            yield row[new[size >= self.least[row[new, 1]]]]
+            side, pos = np.tile(self.side[k], 2), np.tile(self.pos[k], 2)
+            band = np.concatenate([band, band - 1])
+            # the band of positions in all texts tells the text but for its borders
+            key = (side.astype(np.int64) << 40) | (band + (1 << 39))
+            order = np.lexsort((np.tile(doc[where], 2), key))
+            key, pos, text = key[order], pos[order], np.tile(doc[where], 2)[order]
+            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1])])
+            stop = np.r_[new[1:], len(key)]
+            enough = np.flatnonzero(stop - new >= self.least[key[new] >> 40])
+            for s, e in zip(new[enough].tolist(), stop[enough].tolist()):
+                windows = self.covered(int(key[s] >> 40), pos[s:e])
+                if len(windows):
+                    yield int(text[s]), int(key[s] >> 40), int(key[s] & ((1 << 40) - 1)) - (1 << 39), windows
             begin = end
 
-    def align(self, side: int, text: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
-        """Least edits of each window of ``words`` words within the band of diagonals low .. low + 2 (edits + 1), and its end in text."""
+    def covered(self, side: int, pos: np.ndarray) -> np.ndarray:
+        """Windows of the passage that keep as many of their q-grams, found at pos, as the edit budget demands."""
+        q, k, starts = self.rules.q, self.rules.words, self.starts[side]
+        found = np.zeros(len(self.codes[side]) + 1, np.int64)
+        found[pos + 1] = 1
+        found = np.cumsum(found)
+        begin, end = starts[: len(starts) - k], starts[k:]
+        kept = found[np.maximum(end - q + 1, begin)] - found[begin]
+        return np.flatnonzero(kept >= np.maximum(1, end - begin - q + 1 - q * self.rules.edits))
+
+    def align(self, side: np.ndarray, window: np.ndarray, low: np.ndarray, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Least edits of windows, each within the diagonals low .. low + 2 (edits + 1) of its text codes[begin:end]."""
         e, k = self.rules.edits, self.rules.words
-        codes, starts = self.codes[side], self.starts[side]
-        begin = starts[: len(starts) - k]
-        length = starts[k:] - begin
-        width = 2 * (e + 1) + 1
+        first = np.array([self.starts[s][w] for s, w in zip(side.tolist(), window.tolist())], np.int64)
+        length = np.array([self.starts[s][w + k] for s, w in zip(side.tolist(), window.tolist())], np.int64) - first
+        at, low = first + self.base[side], low + first
+        width, big = 2 * (e + 1) + 1, e + 1
         offset = np.arange(width)
-        big = e + 1
-        cost = np.zeros((len(begin), width), np.int64)  # any diagonal of the band may start the window
-        final, ends = np.full(len(begin), big), np.zeros(len(begin), np.int64)
-        for i in range(int(length.max()) if len(length) else 0):
-            live = i < length
-            a = codes[np.minimum(begin + i, len(codes) - 1)][:, None]
-            j = begin[:, None] + i + low + offset
-            inside = (j >= 0) & (j < len(text))
-            b = text[np.clip(j, 0, max(0, len(text) - 1))] if len(text) else np.zeros_like(j)
-            step = np.where(inside, cost + (a != b), big)
-            # a character of the passage is missing in the text: one diagonal down
-            down = np.concatenate([cost[:, 1:] + 1, np.full((len(begin), 1), big)], 1)
-            new = np.minimum(step, down)
+        final = np.full(len(side), big)
+        order = np.argsort(-length, kind="stable")  # the live windows stay in front
+        at, low, begin, end, length = at[order], low[order], begin[order], end[order], length[order]
+        cost = np.zeros((len(side), width), np.int64)  # any diagonal of the band may start the window
+        live = len(side)
+        for i in range(int(length[0]) if len(length) else 0):
+            live = int(np.searchsorted(-length[:live], -i, "left"))
+            cost = cost[:live]
+            j = (low[:live] + i)[:, None] + offset
+            inside = (j >= begin[:live, None]) & (j < end[:live, None])
+            b = codes[np.clip(j, 0, len(codes) - 1)]
+            step = np.where(inside, cost + (self.all_codes[at[:live] + i][:, None] != b), big)
+            step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)  # a character of the passage is missing in the text
             for w in range(1, width):  # a character of the text is surplus
-                new[:, w] = np.minimum(new[:, w], new[:, w - 1] + 1)
-            cost = np.where(live[:, None], np.minimum(new, big), cost)
-            done = length == i + 1
-            if done.any():
-                final[done] = cost[done].min(1)
-                ends[done] = begin[done] + i + 1 + low + cost[done].argmin(1)
-        return final, ends
+                step[:, w] = np.minimum(step[:, w], step[:, w - 1] + 1)
+            cost = np.minimum(step, big)
+            done = length[:live] == i + 1
+            final[order[:live][done]] = cost[done].min(1)
+        return final
 
 
 def _search(rules: LeakRules, kept):
@@ -153,38 +171,34 @@ def _search(rules: LeakRules, kept):
             size = np.array([len(c) for c, _ in streams], np.int64)
             base = np.cumsum(size) - size
             codes = np.concatenate([c for c, _ in streams]) if streams else np.empty(0, np.uint32)
-            out: dict[tuple[int, int, str], list[int]] = {}
-            for part in index.candidates(codes, np.repeat(np.arange(len(size)), size)):
-                for doc, side, band in part.tolist():
-                    text, bounds = streams[doc]
-                    low = band * (rules.edits + 1) - int(base[doc])
-                    edits, ends = index.align(side, text, low)
-                    ok = edits <= rules.edits
-                    if not ok.any():
-                        continue
-                    begin, length = index.starts[side][: len(edits)], index.starts[side][rules.words :] - index.starts[side][: len(edits)]
-                    exact = np.zeros(len(edits), bool)
-                    border = set(bounds.tolist())
-                    for w in np.flatnonzero(ok & (edits == 0)).tolist():
-                        piece = index.codes[side][begin[w] : begin[w] + length[w]]
-                        for start in range(low + int(begin[w]), low + int(begin[w]) + 2 * (rules.edits + 1) + 1):
-                            stop = start + int(length[w])
-                            if start in border and stop in border and np.array_equal(text[start:stop], piece):
-                                exact[w] = True
-                    key = (doc, *index.owner[side])
-                    seen = out.setdefault(key, [0, 0, rules.edits + 1])
-                    seen[0] = max(seen[0], int(ok.sum()))
-                    seen[1] = max(seen[1], int(exact.sum()))
-                    seen[2] = min(seen[2], int(edits.min()))
+            found = list(index.candidates(codes, np.repeat(np.arange(len(size)), size)))
+            n = [len(w) for *_, w in found]
+            doc, side, band = (np.repeat(np.array([x[i] for x in found], np.int64), n) for i in range(3))
+            window, low = np.concatenate([np.empty(0, np.int64), *(w for *_, w in found)]), band * (rules.edits + 1)
+            edits = index.align(side, window, low, codes, base[doc], base[doc] + size[doc])
+            borders: dict[int, set[int]] = {}
+            hits: dict[tuple[int, int], tuple[set, set]] = {}
+            for k in np.flatnonzero(edits <= rules.edits).tolist():
+                d, s, w = int(doc[k]), int(side[k]), int(window[k])
+                near, exact = hits.setdefault((d, s), (set(), set()))
+                near.add(w)
+                if edits[k] or w in exact:
+                    continue
+                border = borders.get(d) or borders.setdefault(d, set((streams[d][1] + base[d]).tolist()))
+                begin, end = int(index.starts[s][w]), int(index.starts[s][w + rules.words])
+                piece, at = index.codes[s][begin:end], int(low[k]) + begin
+                if any(x in border and x + end - begin in border and np.array_equal(codes[x : x + end - begin], piece) for x in range(at, at + 2 * (rules.edits + 1) + 1)):
+                    exact.add(w)
+            out = {(d, *index.owner[s]): (len(near), len(exact)) for (d, s), (near, exact) in hits.items()}
             keys = list(out)
             ids = b.column("id")
-            yield pa.RecordBatch.from_arrays([pa.array([ids[k[0]].as_py() for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.string()), *(pa.array([out[k][i] for k in keys], pa.int32()) for i in range(3))], names=["doc_id", "item_id", "side", "windows", "exact_windows", "edits"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[k[0]].as_py() for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.string()), *(pa.array([out[k][i] for k in keys], pa.int32()) for i in range(2))], names=["doc_id", "item_id", "side", "windows", "exact_windows"])
 
     return run
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()) -> DataFrame:
-    """(doc_id, item_id, side, windows, exact_windows, edits) of documents that hold a stretch of a passage.
+    """(doc_id, item_id, side, windows, exact_windows) of documents that hold a stretch of a passage.
 
     documents(id bigint, text string); items(item_id bigint, side string, text string). A window is ``words``
     successive words of the passage; ``windows`` of them are found within the edit budget, ``exact_windows``
@@ -201,5 +215,5 @@ def find_leaks(documents: DataFrame, items: DataFrame, rules: LeakRules = LeakRu
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "side"), F.lit(blocks)) == k) if blocks > 1 else items
         index = spark.sparkContext.broadcast(PassageIndex([tuple(r) for r in part.collect()], rules))  # about block_chars / 2
-        found.append(texts.mapInArrow(_search(rules, index), "doc_id bigint, item_id bigint, side string, windows int, exact_windows int, edits int"))
+        found.append(texts.mapInArrow(_search(rules, index), "doc_id bigint, item_id bigint, side string, windows int, exact_windows int"))
     return reduce(DataFrame.unionAll, found)

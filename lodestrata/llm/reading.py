@@ -21,7 +21,9 @@ class ReadingRules:
     table_bits: int = 17  # hashed n-grams of one order and language: the models' size is bounded by this
     models: int = 8  # languages with a model of their own, the most frequent labels; the rest share one
     backoff: float = 3.0  # weight of the shorter n-gram against the count of the longer one's context
-    fit_bins: int = 512  # bins of a score in the isotonic fit
+    fit_bins: int = 40  # bins of a score in an isotonic fit
+    fit_rounds: int = 4  # rounds in which rarity and length are fitted in turn
+    fit_rows: int = 200_000  # labelled rows that are fitted; of more, a hashed sample of about as many
     demanding: float = 3.5  # fitted grade from which a text is of the highest level
 
 
@@ -152,25 +154,40 @@ def pool_adjacent(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), v) for v, _, n in blocks]) if blocks else np.empty(0)
 
 
-def fit_isotonic(labelled: DataFrame, score: str, rules: ReadingRules) -> tuple[np.ndarray, np.ndarray]:
-    """Score and fitted grade of at most ``fit_bins`` bins of the labelled rows (score, grade)."""
-    edges = sorted(set(labelled.approxQuantile(score, [k / rules.fit_bins for k in range(1, rules.fit_bins)], 0.0005)))
-    if not edges:
-        return np.array([0.0]), np.array([np.nan])
-    bucket = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col(score)))
-    rows = labelled.groupBy(bucket.alias("b")).agg(F.avg(score).alias("x"), F.avg("grade").alias("y"), F.count("*").alias("n")).collect()  # fit_bins at most
-    rows.sort(key=lambda r: r.b)
-    return np.array([r.x for r in rows]), pool_adjacent(np.array([r.y for r in rows], float), np.array([r.n for r in rows], float))
+def fit_isotonic(x: np.ndarray, y: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Score and fitted grade of bins of equally many rows, a score's ties being in one bin."""
+    value, which = np.unique(x, return_inverse=True)
+    weight = np.bincount(which, minlength=len(value))
+    label = (np.cumsum(weight) - 1) * bins // max(1, len(x))
+    n = np.bincount(label[which])
+    some = n > 0
+    mean = lambda v: np.bincount(label[which], v)[some] / n[some]
+    return mean(x), pool_adjacent(mean(y), n[some].astype(float))
+
+
+def fit_levels(rarity: np.ndarray, length: np.ndarray, grade: np.ndarray, rules: ReadingRules) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Maps of rarity, of length and of the smaller of the two.
+
+    Each of the first two is fitted again on the rows that it limits, since in all rows the other one blurs it.
+    """
+    if not len(grade):
+        nothing = (np.array([0.0]), np.array([np.nan]))
+        return [nothing] * 3
+    maps = [fit_isotonic(x, grade, rules.fit_bins) for x in (rarity, length)]
+    for _ in range(rules.fit_rounds):
+        a, b = np.interp(rarity, *maps[0]), np.interp(length, *maps[1])
+        maps = [fit_isotonic(rarity[b >= a - 0.25], grade[b >= a - 0.25], rules.fit_bins), fit_isotonic(length[a >= b - 0.25], grade[a >= b - 0.25], rules.fit_bins)]
+    both = np.minimum(np.interp(rarity, *maps[0]), np.interp(length, *maps[1]))
+    return [*maps, fit_isotonic(both, grade, rules.fit_bins)]
 
 
 def _graded(maps: list[tuple[np.ndarray, np.ndarray]]):
-    """The smaller of the two grades that rarity and length alone would give; with a third map, fitted once more."""
+    """The smaller of the two grades that rarity and length alone would give, set against the grades once more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             both = np.minimum(*(np.interp(b.column(c).to_numpy(zero_copy_only=False), *m) for c, m in zip(("rarity", "length"), maps)))
-            if len(maps) > 2:
-                both = np.interp(both, *maps[2])
+            both = np.interp(both, *maps[2])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(both)], names=[*b.schema.names, "level_score"])
 
     return run
@@ -183,7 +200,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, language: str | None
     on all texts of each frequent language label; a text is read with the model that finds it least surprising,
     whatever its label says. Two scores come from the distribution of surprisal: how rare its words are among
     those of its language, and how much a sentence holds. Isotonic regression maps either to a grade, the smaller
-    one counts, since neither alone makes a text demanding, and a last regression sets it against the grades.
+    one counts, since neither alone makes a text demanding, and a last regression sets it against the grades. The
+    fit takes at most about ``fit_rows`` labelled rows.
     NULL and wordless texts have no level; several grades of one text all count, NULL grades don't; without any
     grades level is NULL. Equal texts get equal levels.
     """
@@ -210,10 +228,12 @@ def reading_levels(documents: DataFrame, labels: DataFrame, language: str | None
     columns = "doc_id bigint, n_words bigint, word_bits double, sentence_bits double, rarity double, length double"
     scored = measured.mapInArrow(_scores(rank, mean), columns)
     graded = labels.filter("grade is not null").select(F.col("doc_id").cast("bigint"), F.col("grade").cast("double"))
-    sample = materialize(scored.join(graded, "doc_id"), "graded")
-    maps = [fit_isotonic(sample, c, rules) for c in ("rarity", "length")]
-    both = materialize(sample.select("doc_id", "rarity", "length", "grade").mapInArrow(_graded(maps), "doc_id bigint, rarity double, length double, grade double, level_score double"), "both")
-    maps.append(fit_isotonic(both, "level_score", rules))
+    sample = materialize(scored.join(graded, "doc_id").select("doc_id", "rarity", "length", "grade"), "graded")
+    n_graded = sample.count()
+    if n_graded > rules.fit_rows:
+        sample = sample.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n_graded)) < rules.fit_rows)
+    fitted = sample.toArrow()
+    maps = fit_levels(*(fitted[c].to_numpy() for c in ("rarity", "length", "grade")), rules)
     out = scored.mapInArrow(_graded(maps), columns + ", level_score double")
     score = F.when(~F.isnan("level_score"), F.col("level_score"))
     return out.withColumn("level_score", score).withColumn("level", F.when(F.col("level_score") >= rules.demanding, 4).otherwise(F.least(F.lit(3), F.greatest(F.lit(1), F.round("level_score")))).cast("int"))
