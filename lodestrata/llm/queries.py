@@ -95,4 +95,4 @@ SELECT {columns} FROM (
   FROM final_pool
   WHERE method IS NOT NULL AND seed IS NOT NULL AND effective_fitness IS NOT NULL AND NOT isnan(effective_fitness))
 WHERE rn <= 5"""
-ORACLE: dict[str, str] = {"p2_found": p2_found, "p2_classes": p2_classes, "p4_found": _P4.format(columns="rec_id"), "p4_top": _P4.format(columns="method, seed, effective_fitness, rec_id")}
+ORACLE: dict[str, str] = {"p4_found": _P4.format(columns="rec_id"), "p4_top": _P4.format(columns="method, seed, effective_fitness, rec_id")}
