@@ -37,7 +37,24 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _r(c: str) -> Column:
-    return (F.round(c, 6) + F.lit(0.0)).alias(c)
+    """To 6 places; short of a half, so that means of prices, which often end in one, round alike in any engine."""
+    return (F.floor(F.col(c) * 1e6 + 0.4999) / 1e6).alias(c)
+
+
+def same_rounding(sql: str) -> str:
+    """``round(x, 6)`` of the SQL as ``_r`` does it."""
+    while (start := sql.find("round(")) >= 0:
+        level, end = 0, start + 5
+        while True:
+            level += {"(": 1, ")": -1}.get(sql[end], 0)
+            if level == 0:
+                break
+            end += 1
+        inner = sql[start + 6 : end]
+        if not inner.endswith(", 6"):
+            raise ValueError(f"round to 6 places: {inner}")
+        sql = f"{sql[:start]}floor(({inner[:-3]}) * 1e6 + 0.4999) / 1e6{sql[end + 1:]}"
+    return sql
 
 
 def windows(sql: str, partition: str = "instrument", order: str = "cal_idx") -> str:
@@ -61,7 +78,7 @@ def formula_query(name: str, formula: str, sql: str, before: dict[str, str] | No
     if before:
         inner = ", ".join(f"{e} AS {k}" for k, e in before.items())
         source = f"(SELECT *, {inner} FROM panel {windows(inner)})"
-    ORACLE[name] = f"{PANEL_SQL}\nSELECT instrument, cal_idx, round({sql}, 6) + 0.0 AS value FROM {source} t {windows(sql)}"
+    ORACLE[name] = same_rounding(f"{PANEL_SQL}\nSELECT instrument, cal_idx, round({sql}, 6) + 0.0 AS value FROM {source} t {windows(sql)}")
 
 
 _C = "close"
@@ -161,7 +178,7 @@ def query(name: str, sql: str | None = None):
     def keep(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = same_rounding(sql)
         return f
 
     return keep
@@ -173,7 +190,7 @@ _REL = "(SELECT p.*, r.industry FROM panel p LEFT JOIN (SELECT instrument, min(i
 @query("relation_rank", f"{PANEL_SQL}\nSELECT instrument, cal_idx, round(CASE WHEN close IS NOT NULL THEN (rank() OVER (PARTITION BY datetime, industry, close IS NULL ORDER BY close) + (count(*) OVER (PARTITION BY datetime, industry, close) - 1) / 2.0) / count(close) OVER (PARTITION BY datetime, industry) END, 6) AS value FROM {_REL} t WHERE industry IS NOT NULL")
 def relation_rank(spark: SparkSession, sf: str) -> DataFrame:
     p = S.with_industry(panel(spark, sf), spark.read.parquet(f"{sf}/relation.parquet"))
-    return evaluate(p, {"value": "RelationRank($close)"}, keep=("industry",)).filter("industry is not null").select("instrument", "cal_idx", F.round("value", 6).alias("value"))
+    return evaluate(p, {"value": "RelationRank($close)"}, keep=("industry",)).filter("industry is not null").select("instrument", "cal_idx", _r("value"))
 
 
 @query("relation_demean", f"{PANEL_SQL}\nSELECT instrument, cal_idx, round(CASE WHEN industry IS NULL THEN CASE WHEN close IS NOT NULL THEN 0.0 END ELSE close - avg(close) OVER (PARTITION BY datetime, industry) END, 6) + 0.0 AS value FROM {_REL} t")
@@ -498,9 +515,9 @@ def alpha158(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate(panel(spark, sf), catalogs.catalog_158())
 
 
-@query("alpha158_subset", f"{PANEL_SQL}\nSELECT instrument, cal_idx, round((close - open) / nullif(open, 0), 6) + 0.0 AS \"KMID\", round((high - CASE WHEN open IS NOT NULL AND close IS NOT NULL THEN greatest(open, close) END) / nullif(high - low + 1e-12, 0), 6) + 0.0 AS \"KUP2\", round(avg(close) OVER w20 / nullif(close, 0), 6) AS \"MA20\", round(max(high) OVER w60 / nullif(close, 0), 6) AS \"MAX60\", round((close - min(low) OVER w10) / nullif(max(high) OVER w10 - min(low) OVER w10 + 1e-12, 0), 6) + 0.0 AS \"RSV10\", round(avg(volume) OVER w5 / nullif(volume + 1e-12, 0), 6) AS \"VMA5\" FROM panel {windows('w20 w60 w10 w5')}")
+@query("alpha158_subset", f"{PANEL_SQL}\nSELECT instrument, cal_idx, round((close - open) / nullif(open, 0), 6) + 0.0 AS \"KMID\", round((high - CASE WHEN open IS NOT NULL AND close IS NOT NULL THEN greatest(open, close) END) / nullif(high - low + 1e-12, 0), 6) + 0.0 AS \"KUP2\", round(avg(close) OVER w20 / nullif(close, 0), 6) AS \"MA20\", round(max(high) OVER w60 / nullif(close, 0), 6) AS \"MAX60\", round((close - min(low) OVER w10) / nullif(max(high) OVER w10 - min(low) OVER w10 + 1e-12, 0), 6) + 0.0 AS \"RSV10\", round(min(low) OVER w5 / nullif(close, 0), 6) AS \"MIN5\" FROM panel {windows('w20 w60 w10 w5')}")
 def alpha158_subset(spark: SparkSession, sf: str) -> DataFrame:
-    names = ("KMID", "KUP2", "MA20", "MAX60", "RSV10", "VMA5")
+    names = ("KMID", "KUP2", "MA20", "MAX60", "RSV10", "MIN5")
     every = catalogs.catalog_158()
     return evaluate(panel(spark, sf), {n: every[n] for n in names}).select("instrument", "cal_idx", *[_r(n) for n in names])
 
@@ -510,7 +527,7 @@ def alpha360(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate(panel(spark, sf), catalogs.catalog_360())
 
 
-@query("alpha360_subset", f"{PANEL_SQL}\nSELECT instrument, cal_idx, round(lag(close, 59) OVER w / nullif(close, 0), 6) AS \"CLOSE59\", round(open / nullif(close, 0), 6) AS \"OPEN0\", round(lag(volume, 3) OVER w / nullif(volume + 1e-12, 0), 6) AS \"VOLUME3\" FROM panel WINDOW w AS (PARTITION BY instrument ORDER BY cal_idx)")
+@query("alpha360_subset", f"{PANEL_SQL}\nSELECT instrument, cal_idx, round(lag(close, 59) OVER w / nullif(close, 0), 6) AS \"CLOSE59\", round(open / nullif(close, 0), 6) AS \"OPEN0\", round(lag(vwap, 3) OVER w / nullif(close, 0), 6) AS \"VWAP3\" FROM panel WINDOW w AS (PARTITION BY instrument ORDER BY cal_idx)")
 def alpha360_subset(spark: SparkSession, sf: str) -> DataFrame:
     every = catalogs.catalog_360()
-    return evaluate(panel(spark, sf), {n: every[n] for n in ("CLOSE59", "OPEN0", "VOLUME3")}).select("instrument", "cal_idx", *[_r(n) for n in ("CLOSE59", "OPEN0", "VOLUME3")])
+    return evaluate(panel(spark, sf), {n: every[n] for n in ("CLOSE59", "OPEN0", "VWAP3")}).select("instrument", "cal_idx", *[_r(n) for n in ("CLOSE59", "OPEN0", "VWAP3")])
