@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 from lodestrata.functions.registry import percent_rank
 
 Processor = Callable[[DataFrame], DataFrame]
-_DAY = Window.partitionBy("datetime")
+
+
+def _day():
+    return Window.partitionBy("datetime")
+
+
 #: Makes the median absolute deviation comparable with a standard deviation.
 MAD_SCALE = 1.4826
 
@@ -46,15 +51,15 @@ def squash(columns: list[str]) -> Processor:
 def infinite_to_mean(columns: list[str]) -> Processor:
     """Infinite values become the day's mean of the others."""
     wild = lambda x: F.abs(x) == float("inf")
-    return lambda df: _each(df, columns, lambda x: F.when(wild(x), F.avg(F.when(~wild(x), x)).over(_DAY)).otherwise(x))
+    return lambda df: _each(df, columns, lambda x: F.when(wild(x), F.avg(F.when(~wild(x), x)).over(_day())).otherwise(x))
 
 
 def day_zscore(columns: list[str]) -> Processor:
     """By the sample deviation of the day; NULL where nothing varies."""
 
     def f(x: Column) -> Column:
-        sd = F.stddev_samp(x).over(_DAY)
-        return (x - F.avg(x).over(_DAY)) / F.when(sd > 0, sd)
+        sd = F.stddev_samp(x).over(_day())
+        return (x - F.avg(x).over(_day())) / F.when(sd > 0, sd)
 
     return lambda df: _each(df, columns, f)
 
@@ -63,10 +68,10 @@ def day_robust(columns: list[str], clip: float = 3.0) -> Processor:
     """Median and scaled absolute deviation of the day, cut at +-clip; two passes over the day, without a self-join."""
 
     def run(df: DataFrame) -> DataFrame:
-        mid = df.withColumns({f"__m_{c}": F.percentile(c, 0.5).over(_DAY) for c in columns})
+        mid = df.withColumns({f"__m_{c}": F.percentile(c, 0.5).over(_day()) for c in columns})
         out = mid
         for c in columns:
-            spread = F.percentile(F.abs(F.col(c) - F.col(f"__m_{c}")), 0.5).over(_DAY) * MAD_SCALE
+            spread = F.percentile(F.abs(F.col(c) - F.col(f"__m_{c}")), 0.5).over(_day()) * MAD_SCALE
             out = out.withColumn(c, (F.col(c) - F.col(f"__m_{c}")) / F.when(spread > 0, spread))
         # greatest and least skip NULL
         return out.withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(-clip), F.least(F.lit(clip), F.col(c)))) for c in columns}).drop(*[f"__m_{c}" for c in columns])
@@ -80,7 +85,7 @@ def day_rank(columns: list[str]) -> Processor:
 
 
 def day_fill(columns: list[str]) -> Processor:
-    return lambda df: _each(df, columns, lambda x: F.coalesce(x, F.avg(x).over(_DAY)))
+    return lambda df: _each(df, columns, lambda x: F.coalesce(x, F.avg(x).over(_day())))
 
 
 @dataclass(frozen=True)

@@ -38,8 +38,8 @@ def rolling_mean(stream: DataFrame, key: str, length: int, value: str = "value",
     """(key, ts, value, mean): mean of a key's last ``length`` values in order of ts.
 
     The state is the last length - 1 values and the rows that the watermark hasn't passed; rows are put out once
-    no earlier one can come, so that late arrivals within ``delay`` count in their place. The last rows of a key
-    follow when its timeout, a ``delay`` after them in event time, is reached.
+    no earlier one can come, so that late arrivals within ``delay`` count in their place. A timeout wakes a key when
+    the watermark has passed its waiting rows.
     """
 
     def step(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -48,8 +48,8 @@ def rolling_mean(stream: DataFrame, key: str, length: int, value: str = "value",
         for pdf in pdfs:
             waiting += [(t.value // 1000, v, i) for t, v, i in zip(pd.to_datetime(pdf.ts), pdf.value.astype(float), pdf.rid)]
         mark = state.getCurrentWatermarkMs() * 1000
-        ready = sorted((x for x in waiting if state.hasTimedOut or x[0] <= mark), key=lambda x: (x[0], x[2]))
-        waiting = [x for x in waiting if not (state.hasTimedOut or x[0] <= mark)]
+        ready = sorted((x for x in waiting if x[0] <= mark), key=lambda x: (x[0], x[2]))
+        waiting = [x for x in waiting if x[0] > mark]
         out = []
         for t, v, _ in ready:
             held = [x for x in (*tail, v)][-length:]
@@ -57,7 +57,7 @@ def rolling_mean(stream: DataFrame, key: str, length: int, value: str = "value",
             tail = held[-(length - 1) :] if length > 1 else []
         state.update((tail, [list(x) for x in waiting]))
         if waiting:
-            state.setTimeoutTimestamp(max(max(x[0] for x in waiting) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(min(x[0] for x in waiting) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=[key, "ts", "value", "mean"])
 
