@@ -125,8 +125,8 @@ def _postings(bags: np.ndarray, size: np.ndarray, p: np.ndarray, larger: bool, r
         # elements that the n-gram needs beyond the missing ones
         extra = np.zeros(len(who), np.int64)
         product = np.ones(len(who))
-        for _ in range(depth):
-            more = (product > least_p) & (miss[who] + extra < size[who])
+        for k in range(depth):
+            more = ((product > least_p) | (k == 0)) & (miss[who] + extra < size[who])
             at = np.minimum(miss[who] + extra, width - 1)
             product = np.where(more, product * p[who, at], product)
             extra += more

@@ -236,4 +236,6 @@ def reading_levels(documents: DataFrame, labels: DataFrame, language: str | None
     maps = fit_levels(*(fitted[c].to_numpy() for c in ("rarity", "length", "grade")), rules)
     out = scored.mapInArrow(_graded(maps), columns + ", level_score double")
     score = F.when(~F.isnan("level_score"), F.col("level_score"))
-    return out.withColumn("level_score", score).withColumn("level", F.when(F.col("level_score") >= rules.demanding, 4).otherwise(F.least(F.lit(3), F.greatest(F.lit(1), F.round("level_score")))).cast("int"))
+    whole = F.least(F.lit(3), F.greatest(F.lit(1), F.round("level_score")))
+    level = F.when(F.col("level_score") >= rules.demanding, 4).when(F.col("level_score").isNotNull(), whole)
+    return out.withColumn("level_score", score).withColumn("level", level.cast("int"))

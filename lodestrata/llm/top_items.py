@@ -32,7 +32,7 @@ def top_n(df: DataFrame, keys: list[str], score: str, tie: str, n: int, band_sha
     cut = lambda d: d.withColumn("__rn", F.row_number().over(Window.partitionBy(*k).orderBy(*order))).filter(F.col("__rn") <= n).drop("__rn")
     numeric = rows.withColumn(s, F.col(s).cast("double"))
     total = rows.count()
-    edges = sorted(set(numeric.approxQuantile(s, [1 - x for x in band_shares], 0.002)), reverse=True) if total else []
+    edges = sorted(set(numeric.approxQuantile(s, [1 - x for x in band_shares], 0.002)), reverse=True) if total and band_shares else []
     heavy = materialize(rows.groupBy(*k).count().filter(F.col("count") >= -(-total // HEAVY_PARTS)).drop("count"), "heavy") if total > HEAVY_PARTS else None
     kept: list[DataFrame] = []
     upper = None
