@@ -23,6 +23,15 @@ def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([hashes & np.uint64(bits - 1), (hashes >> np.uint64(32)) & np.uint64(bits - 1)])
 
 
+def _has(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether both bits are set."""
+    return ((packed[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1).all(0)
+
+
+def _set(packed: np.ndarray, at: np.ndarray) -> None:
+    np.bitwise_or.at(packed, (at >> np.uint64(3)).ravel(), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)).ravel())
+
+
 def _hashes(batch: pa.RecordBatch, loose: Callable[[str], bytes]) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
     return np.array([digest(loose(s), g) for g, s in zip(batch.column("part").to_pylist(), batch.column("text").to_pylist())], np.uint64)
@@ -32,7 +41,7 @@ def _partition_filters(loose: Callable[[str], bytes], bits: int):
     """One task's filters of once and repeatedly seen hashes, by segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         seen = False
         for b in batches:
             if not b.num_rows:
@@ -40,14 +49,14 @@ def _partition_filters(loose: Callable[[str], bytes], bits: int):
             seen = True
             found, count = np.unique(_hashes(b, loose), return_counts=True)
             at = _positions(found, bits)
-            again = (count > 1) | once[at].all(0)
-            twice[at[:, again]] = True
-            once[at] = True
+            again = (count > 1) | _has(once, at)
+            _set(twice, at[:, again])
+            _set(once, at)
         if seen:
-            for s in range(0, bits, SEGMENT_BITS):
-                o = once[s : s + SEGMENT_BITS]
+            for s in range(0, bits // 8, SEGMENT_BITS // 8):
+                o = once[s : s + SEGMENT_BITS // 8]
                 if o.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([s // SEGMENT_BITS], pa.int32()), pa.array([np.packbits(o).tobytes()]), pa.array([np.packbits(twice[s : s + SEGMENT_BITS]).tobytes()])], names=["segment", "once", "twice"])
+                    yield pa.RecordBatch.from_arrays([pa.array([8 * s // SEGMENT_BITS], pa.int32()), pa.array([o.tobytes()]), pa.array([twice[s : s + SEGMENT_BITS // 8].tobytes()])], names=["segment", "once", "twice"])
 
     return run
 
@@ -72,7 +81,7 @@ def _split(loose: Callable[[str], bytes], exact: Callable[[str], str], bits: int
         twice = filter_of.value
         for b in batches:
             at = _positions(_hashes(b, loose), bits)
-            maybe = (((twice[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1) == 1).all(0)
+            maybe = _has(twice, at)
             high, low = [None] * b.num_rows, [None] * b.num_rows
             texts = b.column("text")
             for i in np.flatnonzero(maybe).tolist():
