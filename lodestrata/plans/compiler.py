@@ -10,16 +10,22 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.dsl.tree import FormulaError, Node, extent, fields, fold_numbers, parse
 from lodestrata.functions import registry
 from lodestrata.functions.registry import Context
+from lodestrata.operators import kernels
 
 _BOOLEAN = frozenset("Gt Ge Lt Le Eq Ne And Or Not IsNull IsInf".split())
 #: Arguments that stay as they are written.
 _LITERAL = {"Quantile": {1, 2}, "Corr": {2}, "Cov": {2}, "DayCumsum": {1, 2}, "Rolling": {1, 2}, "ChangeInstrument": {0}, "Mask": {1}}
 
 
+#: Cells of windows a row from which arrays beat sliding frames.
+ARRAY_CELLS = 100
+
+
 class _Plan:
     def __init__(self, df: DataFrame, context: Context):
         self.df, self.context = df, context
@@ -74,11 +80,14 @@ class _Plan:
             self.done |= named
 
 
-def evaluate(panel: DataFrame, formulas: dict[str, str], context: Context = Context(), keep: tuple[str, ...] = (), start: int | None = None, end: int | None = None) -> DataFrame:
+def evaluate(panel: DataFrame, formulas: dict[str, str], context: Context = Context(), keep: tuple[str, ...] = (), start: int | None = None, end: int | None = None, engine: str = "auto") -> DataFrame:
     """Columns ``formulas`` (name to text) over a dense ``panel``, beside entity, order, time and ``keep``.
 
     start, end: places on the time axis that are wanted. The rows that windows need before and after them, which
     the formulas tell, are read as well and cut off at the end.
+
+    engine: "sql" uses Spark's windows, "array" the kernels of ``operators.kernels``; "auto" takes the kernels for
+    batches whose windows hold more than ARRAY_CELLS cells a row, if they can express all formulas.
     """
     trees = {name: fold_numbers(parse(text)) for name, text in formulas.items()}
     keys = [c for c in dict.fromkeys((context.entity, context.order, context.time, *keep)) if c in panel.columns]
@@ -93,11 +102,34 @@ def evaluate(panel: DataFrame, formulas: dict[str, str], context: Context = Cont
             df = df.filter(F.col(context.order) >= start - int(left))
         if end is not None and math.isfinite(right):
             df = df.filter(F.col(context.order) <= end + int(right))
+    able = context == Context() and not grouped and all(map(kernels.supported, trees.values()))
+    if engine == "array" or engine == "auto" and able and kernels.cost(trees) > ARRAY_CELLS:
+        if not able:
+            raise FormulaError("a formula is beyond the array engine")
+        return _cut(_by_arrays(df, trees, keys, context), context, start, end)
     plan = _Plan(df, context)
     deepest = max((plan.depth(t) for t in trees.values()), default=0)
     for depth in range(1, deepest + 1):
         plan.layer(depth, [n for t in trees.values() for n in t.walk() if n.kind == "call" and n.name in registry.WINDOWED and plan.depth(n) == depth])
-    out = plan.df.select(*keys, *[plan.number(t).alias(name) for name, t in trees.items()])
+    return _cut(plan.df.select(*keys, *[plan.number(t).alias(name) for name, t in trees.items()]), context, start, end)
+
+
+def _by_arrays(df: DataFrame, trees: dict[str, Node], keys: list[str], context: Context) -> DataFrame:
+    wanted = sorted(set().union(*(fields(t) for t in trees.values())))
+    rows = df.select(*keys, *[F.col(c).cast("double").alias(f"__{c}") for c in wanted])
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, context.entity).sortWithinPartitions(context.entity, context.order)
+    schema = T.StructType([*(rows.schema[k] for k in keys), *(T.StructField(n, T.DoubleType()) for n in trees)])
+    named = {n: _renamed(t) for n, t in trees.items()}
+    return rows.mapInArrow(kernels.runner(named, keys, context.entity, context.order, [f"__{c}" for c in wanted]), schema)
+
+
+def _renamed(n: Node) -> Node:
+    """Fields under names that no key has."""
+    return Node(n.kind, f"__{n.name}" if n.kind == "field" else n.name, n.value, tuple(_renamed(a) for a in n.args))
+
+
+def _cut(out: DataFrame, context: Context, start: int | None, end: int | None) -> DataFrame:
     if start is not None:
         out = out.filter(F.col(context.order) >= start)
     if end is not None:

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import catalogs
 from lodestrata.operators import metrics as M
+from lodestrata.operators import portfolio as B
 from lodestrata.operators import processors as P
 from lodestrata.operators import programs as G
+from lodestrata.operators import research as R
 from lodestrata.plans.compiler import evaluate
-from lodestrata.plans.engine_queries import LABEL, PANEL_SQL, SCORE, _r, frame, panel, same_rounding
+from lodestrata.plans.engine_queries import FRAME_SQL, LABEL, PANEL_SQL, SCORE, _LAG, _WEIGHTS_SQL, _r, _rounded, frame, market, panel, same_rounding
 from lodestrata.sources import panel as S
 from lodestrata.streaming import windows as W
 
@@ -166,7 +168,7 @@ def pool_combined_ic(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("diversity")
 def diversity(spark: SparkSession, sf: str) -> DataFrame:
-    f = evaluate(panel(spark, sf), {k: f"CSZScore({v})" for k, v in _POOL.items()})
+    f = market(spark, sf, {k: f"CSZScore({v})" for k, v in _POOL.items()})
     return spark.createDataFrame([(M.diversity_entropy(M.covariance(f, list(_POOL))),)], "entropy double")
 
 
@@ -178,7 +180,7 @@ def diversity_cov(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("hof_selection")
 def hof_selection(spark: SparkSession, sf: str) -> DataFrame:
-    f = evaluate(panel(spark, sf), _POOL)
+    f = market(spark, sf, _POOL)
     corr = G.mutual_ics(f, list(_POOL))
     names = list(_POOL)
     kept = G.hall_of_fame(G.np.arange(len(names), 0, -1.0), corr, 3)
@@ -187,7 +189,7 @@ def hof_selection(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("rolling_ols")
 def rolling_ols(spark: SparkSession, sf: str) -> DataFrame:
-    f = evaluate(panel(spark, sf), {"mom": SCORE, "chg": "$change", "label": LABEL})
+    f = market(spark, sf, {"mom": SCORE, "chg": "$change", "label": LABEL})
     return G.rolling_regression(f, ["mom", "chg"], "label", 60)
 
 
@@ -312,3 +314,66 @@ def replace_range(spark: SparkSession, sf: str) -> DataFrame:
     cal = spark.read.parquet(f"{sf}/trade_calendar.parquet").filter("cal_idx between 100 and 150")
     new = p.join(cal.select("cal_idx"), "cal_idx", "left_semi").withColumn("close", -F.col("close"))
     return S.replace_range(p, new).select("instrument", "datetime", "close")
+
+
+# Further research steps.
+_PCT = "(rank() OVER (PARTITION BY datetime, {x} IS NULL ORDER BY {x}) + (count(*) OVER (PARTITION BY datetime, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY datetime)"
+
+
+@query("illiquidity", f"{PANEL_SQL}, x AS (SELECT *, abs(change) / CASE WHEN amount > 0 THEN amount END * 1e9 AS x FROM panel)\nSELECT instrument, cal_idx, round(CASE WHEN count(x) OVER w >= 10 THEN avg(x) OVER w END, 6) AS illiquidity FROM x WINDOW w AS (PARTITION BY instrument ORDER BY cal_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
+def illiquidity(spark: SparkSession, sf: str) -> DataFrame:
+    return R.illiquidity(panel(spark, sf)).select("instrument", "cal_idx", _r("illiquidity"))
+
+
+@query("vol_regimes", f"{FRAME_SQL}, b AS (SELECT datetime, avg(label) AS bench FROM frame GROUP BY 1 HAVING avg(label) IS NOT NULL), v AS (SELECT datetime, CASE WHEN count(bench) OVER w = 20 THEN stddev_samp(bench) OVER w END AS vol FROM b WINDOW w AS (ORDER BY datetime ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))\nSELECT datetime, round(vol, 6) AS vol, CASE WHEN vol <= (SELECT quantile_cont(vol, 0.3) FROM v) THEN 'low' WHEN vol >= (SELECT quantile_cont(vol, 0.7) FROM v) THEN 'high' WHEN vol IS NOT NULL THEN 'middle' END AS regime FROM v")
+def vol_regimes(spark: SparkSession, sf: str) -> DataFrame:
+    bench = frame(spark, sf).groupBy("datetime").agg(F.avg("label").alias("bench")).filter("bench is not null")
+    return _rounded(R.volatility_regimes(bench))
+
+
+@query("position_status", f"{_WEIGHTS_SQL}, days AS (SELECT datetime, row_number() OVER (ORDER BY datetime) AS d FROM (SELECT DISTINCT datetime FROM weights)), h AS (SELECT d, instrument FROM weights JOIN days USING (datetime))\nSELECT days.datetime, coalesce(a.instrument, b.instrument) AS instrument, (CASE WHEN a.d IS NULL THEN 0 ELSE 1 END - CASE WHEN b.d IS NULL THEN 0 ELSE 1 END)::INT AS status FROM h a FULL JOIN h b ON a.instrument = b.instrument AND a.d = b.d + 1 JOIN days ON days.d = coalesce(a.d, b.d + 1)")
+def position_status(spark: SparkSession, sf: str) -> DataFrame:
+    return R.position_status(B.long_short_weights(frame(spark, sf)))
+
+
+@query("common_turnover", f"{FRAME_SQL}, f AS (SELECT * FROM frame WHERE score IS NOT NULL), z AS (SELECT datetime, instrument, coalesce((score - avg(score) OVER d) / CASE WHEN stddev_pop(score) OVER d < 1e-8 THEN 1.0 ELSE stddev_pop(score) OVER d END, 0.0) AS score FROM f WINDOW d AS (PARTITION BY datetime)), j AS (SELECT * FROM {_LAG.format(v='score', t='z')} t WHERE past IS NOT NULL), m AS (SELECT datetime, abs(score / nullif(sum(abs(score)) OVER d, 0) - past / nullif(sum(abs(past)) OVER d, 0)) AS x FROM j WINDOW d AS (PARTITION BY datetime))\nSELECT datetime, round(sum(x) / 2, 6) AS turnover FROM m GROUP BY datetime")
+def common_turnover(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(R.common_turnover(frame(spark, sf)))
+
+
+@query("average_ensemble", f"{PANEL_SQL}, f AS (SELECT datetime, instrument, close / nullif(lag(close, 5) OVER w, 0) - 1 AS a, change AS b FROM panel WINDOW w AS (PARTITION BY instrument ORDER BY cal_idx)), z AS (SELECT datetime, instrument, (a - avg(a) OVER d) / nullif(stddev_samp(a) OVER d, 0) AS a, (b - avg(b) OVER d) / nullif(stddev_samp(b) OVER d, 0) AS b FROM f WINDOW d AS (PARTITION BY datetime))\nSELECT datetime, instrument, round((coalesce(a, 0.0) + coalesce(b, 0.0)) / nullif((a IS NOT NULL)::INT + (b IS NOT NULL)::INT, 0), 6) + 0.0 AS score FROM z")
+def average_ensemble(spark: SparkSession, sf: str) -> DataFrame:
+    f = market(spark, sf, {"a": SCORE, "b": "$change"})
+    return _rounded(R.average_ensemble([f.select("datetime", "instrument", F.col(c).alias("score")) for c in ("a", "b")]))
+
+
+@query("pool_profile", "SELECT method, round(median(x), 6) + 0.0 AS median, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 6) AS iqr, round(min(x), 6) + 0.0 AS worst, count(x) AS n FROM (SELECT method, CASE WHEN NOT isnan(effective_fitness) THEN effective_fitness END AS x FROM final_pool) GROUP BY method")
+def pool_profile(spark: SparkSession, sf: str) -> DataFrame:
+    pool = spark.read.parquet(f"{sf}/final_pool.parquet").withColumn("x", F.when(~F.isnan("effective_fitness"), F.col("effective_fitness")))
+    return _rounded(R.profile(pool, "method", "x"))
+
+
+@query("grid_nearest", f"SELECT a.gx, a.gy, a.n, round(min(sqrt(pow(a.gx - b.gx, 2) + pow(a.gy - b.gy, 2))), 6) AS nearest FROM (SELECT gx, gy, count(*) AS n FROM ({_GRID}) GROUP BY 1, 2) a LEFT JOIN (SELECT DISTINCT gx, gy FROM ({_GRID})) b ON a.gx <> b.gx OR a.gy <> b.gy GROUP BY 1, 2, 3")
+def grid_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(R.nearest_on_grid(_binned(spark, sf), "ic", "mean_daily_coverage_ratio"))
+
+
+@query("liquidity_tilt")
+def liquidity_tilt(spark: SparkSession, sf: str) -> DataFrame:
+    return R.footprint(market(spark, sf, {"score": SCORE, "amount": "Mean($amount, 20)"}), "amount")
+
+
+@query("permutation_null")
+def permutation_null(spark: SparkSession, sf: str) -> DataFrame:
+    return M.daily_ic(R.permuted(frame(spark, sf)))
+
+
+@query("execution_trend")
+def execution_trend(spark: SparkSession, sf: str) -> DataFrame:
+    return R.execution_trend(panel(spark, sf))
+
+
+@query("twap_orders", "SELECT o_orderkey AS order_id, s::INT AS step, round(CASE WHEN s = 3 THEN o_totalprice - CASE WHEN s = 0 THEN 0.0 ELSE floor(o_totalprice * s / 4 / 100 + 1e-9) * 100 END ELSE floor(o_totalprice * (s + 1) / 4 / 100 + 1e-9) * 100 - CASE WHEN s = 0 THEN 0.0 ELSE floor(o_totalprice * s / 4 / 100 + 1e-9) * 100 END END, 6) AS part FROM orders, range(4) t(s)")
+def twap_orders(spark: SparkSession, sf: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("amount"))
+    return B.twap_schedule(orders, 4).select("order_id", "step", _r("part"))

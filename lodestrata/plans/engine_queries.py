@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.dsl.tree import fields, parse
 from lodestrata.functions import catalogs
 from lodestrata.functions.registry import Context
 from lodestrata.operators import metrics as M
@@ -36,6 +37,12 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     return S.market_panel(spark, sf)
 
 
+def market(spark: SparkSession, sf: str, formulas: dict[str, str], context: Context = Context(), **how) -> DataFrame:
+    """Formulas over the market panel, of which only their fields are read."""
+    wanted = set().union(*(fields(parse(t)) for t in formulas.values()))
+    return evaluate(S.market_panel(spark, sf, wanted=wanted), formulas, context, **how)
+
+
 def _r(c: str) -> Column:
     """To 6 places; short of a half, so that means of prices, which often end in one, round alike in any engine."""
     return (F.floor(F.col(c) * 1e6 + 0.4999) / 1e6).alias(c)
@@ -71,7 +78,7 @@ def formula_query(name: str, formula: str, sql: str, before: dict[str, str] | No
     """A query of one formula; ``before``: columns that an inner SELECT gives."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return evaluate(panel(spark, sf), {"value": formula}, context).select("instrument", "cal_idx", _r("value"))
+        return market(spark, sf, {"value": formula}, context).select("instrument", "cal_idx", _r("value"))
 
     QUERIES[name] = run
     source = "panel"
@@ -202,7 +209,7 @@ def relation_demean(spark: SparkSession, sf: str) -> DataFrame:
 @query("change_instrument", f"{PANEL_SQL}\nSELECT instrument, cal_idx, round(close / nullif((SELECT q.close FROM panel q WHERE q.cal_idx = p.cal_idx AND q.instrument = (SELECT min(instrument) FROM bars_day)), 0), 6) + 0.0 AS value FROM panel p")
 def change_instrument(spark: SparkSession, sf: str) -> DataFrame:
     first = spark.read.parquet(f"{sf}/bars_day.parquet").agg(F.min("instrument")).first()[0]
-    return evaluate(panel(spark, sf), {"value": f"$close / ChangeInstrument('{first}', $close)"}).select("instrument", "cal_idx", _r("value"))
+    return market(spark, sf, {"value": f"$close / ChangeInstrument('{first}', $close)"}).select("instrument", "cal_idx", _r("value"))
 
 
 @query("calendar_densify", f"{PANEL_SQL}\nSELECT instrument, cal_idx, datetime, close FROM panel")
@@ -250,12 +257,12 @@ def filter_name(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("filter_expression", f"{PANEL_SQL}\nSELECT instrument, cal_idx FROM (SELECT *, avg(close) OVER w20 AS m FROM panel WINDOW w20 AS (PARTITION BY instrument ORDER BY cal_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE close > m")
 def filter_expression(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate(panel(spark, sf), {"keep": "$close > Mean($close, 20)"}).filter("keep = 1").select("instrument", "cal_idx")
+    return market(spark, sf, {"keep": "$close > Mean($close, 20)"}).filter("keep = 1").select("instrument", "cal_idx")
 
 
 @query("range_pushdown", f"{PANEL_SQL}\nSELECT instrument, cal_idx, round(value, 6) + 0.0 AS value FROM (SELECT instrument, cal_idx, avg(close) OVER (PARTITION BY instrument ORDER BY cal_idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS value FROM panel) WHERE cal_idx BETWEEN 100 AND 200")
 def range_pushdown(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate(panel(spark, sf), {"value": "Mean($close, 10)"}, start=100, end=200).select("instrument", "cal_idx", _r("value"))
+    return market(spark, sf, {"value": "Mean($close, 10)"}, start=100, end=200).select("instrument", "cal_idx", _r("value"))
 
 
 # Announcements: orders stand for them, a quarter for the period, and prices are what is announced.
@@ -301,7 +308,7 @@ _PAIRS_SQL = f"""{FRAME_SQL}, pairs AS (
 
 
 def frame(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate(panel(spark, sf), {"score": SCORE, "label": LABEL})
+    return market(spark, sf, {"score": SCORE, "label": LABEL})
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -406,7 +413,7 @@ def feature_health(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("multi_ic", f"{PANEL_SQL}, f AS (SELECT datetime, close / nullif(lag(close, 5) OVER w, 0) - 1 AS mom, change AS chg, lead(close, 1) OVER w / nullif(close, 0) - 1 AS y1, lead(close, 5) OVER w / nullif(close, 0) - 1 AS y5 FROM panel WINDOW w AS (PARTITION BY instrument ORDER BY cal_idx))\n" + " UNION ALL ".join(f"SELECT datetime, '{x}' AS score, '{y}' AS label, round({_CORR.format(x=x, y=y)}, 6) + 0.0 AS ic FROM f GROUP BY datetime" for x in ("mom", "chg") for y in ("y1", "y5")))
 def multi_ic(spark: SparkSession, sf: str) -> DataFrame:
-    f = evaluate(panel(spark, sf), {"mom": SCORE, "chg": "$change", "y1": LABEL, "y5": "Ref($close, -5) / $close - 1"})
+    f = market(spark, sf, {"mom": SCORE, "chg": "$change", "y1": LABEL, "y5": "Ref($close, -5) / $close - 1"})
     return _rounded(M.many_ics(f, ["mom", "chg"], ["y1", "y5"]))
 
 
@@ -499,35 +506,35 @@ def limit_masks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("topk_simulation")
 def topk_simulation(spark: SparkSession, sf: str) -> DataFrame:
-    p = evaluate(panel(spark, sf), {"score": SCORE, "price": "$close", "factor": "$factor", "amount": "$amount"})
+    p = market(spark, sf, {"score": SCORE, "price": "$close", "factor": "$factor", "amount": "$amount"})
     accounts = p.withColumn("account", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn("score", F.when(F.col("account") == "b", -F.col("score")).otherwise(F.col("score")))
     return B.simulate_topk(accounts.withColumn("price", F.col("price")))
 
 
 @query("pool_signal", f"{PANEL_SQL}, f AS (SELECT datetime, instrument, cal_idx, close / nullif(lag(close, 5) OVER w, 0) - 1 AS a, change AS b FROM panel WINDOW w AS (PARTITION BY instrument ORDER BY cal_idx))\nSELECT instrument, cal_idx, round(CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN coalesce(0.7 * (a - avg(a) OVER d) / CASE WHEN stddev_pop(a) OVER d < 1e-8 THEN 1.0 ELSE stddev_pop(a) OVER d END, 0.0) + coalesce(-0.3 * (b - avg(b) OVER d) / CASE WHEN stddev_pop(b) OVER d < 1e-8 THEN 1.0 ELSE stddev_pop(b) OVER d END, 0.0) END, 6) + 0.0 AS score FROM f WINDOW d AS (PARTITION BY datetime)")
 def pool_signal(spark: SparkSession, sf: str) -> DataFrame:
-    f = evaluate(panel(spark, sf), {"a": SCORE, "b": "$change"})
+    f = market(spark, sf, {"a": SCORE, "b": "$change"})
     return B.combine_signals(f, {"a": 0.7, "b": -0.3}).select("instrument", "cal_idx", _r("score"))
 
 
 @query("alpha158")
 def alpha158(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate(panel(spark, sf), catalogs.catalog_158())
+    return market(spark, sf, catalogs.catalog_158())
 
 
 @query("alpha158_subset", f"{PANEL_SQL}\nSELECT instrument, cal_idx, round((close - open) / nullif(open, 0), 6) + 0.0 AS \"KMID\", round((high - CASE WHEN open IS NOT NULL AND close IS NOT NULL THEN greatest(open, close) END) / nullif(high - low + 1e-12, 0), 6) + 0.0 AS \"KUP2\", round(avg(close) OVER w20 / nullif(close, 0), 6) AS \"MA20\", round(max(high) OVER w60 / nullif(close, 0), 6) AS \"MAX60\", round((close - min(low) OVER w10) / nullif(max(high) OVER w10 - min(low) OVER w10 + 1e-12, 0), 6) + 0.0 AS \"RSV10\", round(min(low) OVER w5 / nullif(close, 0), 6) AS \"MIN5\" FROM panel {windows('w20 w60 w10 w5')}")
 def alpha158_subset(spark: SparkSession, sf: str) -> DataFrame:
     names = ("KMID", "KUP2", "MA20", "MAX60", "RSV10", "MIN5")
     every = catalogs.catalog_158()
-    return evaluate(panel(spark, sf), {n: every[n] for n in names}).select("instrument", "cal_idx", *[_r(n) for n in names])
+    return market(spark, sf, {n: every[n] for n in names}).select("instrument", "cal_idx", *[_r(n) for n in names])
 
 
 @query("alpha360")
 def alpha360(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate(panel(spark, sf), catalogs.catalog_360())
+    return market(spark, sf, catalogs.catalog_360())
 
 
 @query("alpha360_subset", f"{PANEL_SQL}\nSELECT instrument, cal_idx, round(lag(close, 59) OVER w / nullif(close, 0), 6) AS \"CLOSE59\", round(open / nullif(close, 0), 6) AS \"OPEN0\", round(lag(vwap, 3) OVER w / nullif(close, 0), 6) AS \"VWAP3\" FROM panel WINDOW w AS (PARTITION BY instrument ORDER BY cal_idx)")
 def alpha360_subset(spark: SparkSession, sf: str) -> DataFrame:
     every = catalogs.catalog_360()
-    return evaluate(panel(spark, sf), {n: every[n] for n in ("CLOSE59", "OPEN0", "VWAP3")}).select("instrument", "cal_idx", *[_r(n) for n in ("CLOSE59", "OPEN0", "VWAP3")])
+    return market(spark, sf, {n: every[n] for n in ("CLOSE59", "OPEN0", "VWAP3")}).select("instrument", "cal_idx", *[_r(n) for n in ("CLOSE59", "OPEN0", "VWAP3")])

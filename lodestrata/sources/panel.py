@@ -21,19 +21,27 @@ def newest(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
 def densify(rows: DataFrame, calendar: DataFrame, entity: str = "instrument", order: str = "cal_idx", time: str = "datetime") -> DataFrame:
     """A row for each calendar place of an entity from its first to its last, so that windows count calendar rows.
 
-    The places are generated, not joined, and the fields arrive by an equi-join on (entity, place).
+    Each row brings the empty places up to the next one: a lead over the series instead of joins with a grid. The
+    exchange by entity is the one that windows over series need anyway. One row per (entity, place) is expected.
     """
-    span = rows.groupBy(entity).agg(F.min(order).alias("__a"), F.max(order).alias("__b"))
-    grid = span.select(entity, F.explode(F.sequence("__a", "__b")).alias(order))
-    values = rows.drop(time)
-    return grid.join(values, [entity, order], "left").join(calendar.select(order, time), order)
+    after = F.lead(order).over(Window.partitionBy(entity).orderBy(order))
+    fields = [c for c in rows.columns if c not in (entity, order, time)]
+    spread = rows.withColumn("__to", F.coalesce(after - 1, F.col(order))).select(entity, F.col(order).alias("__at"), F.explode(F.sequence(order, "__to")).alias(order), *fields)
+    own = F.col(order) == F.col("__at")
+    filled = spread.select(entity, order, *[F.when(own, F.col(c)).alias(c) for c in fields])
+    return filled.join(calendar.select(order, time), order)
 
 
-def market_panel(spark: SparkSession, sf: str, table: str = "bars_day") -> DataFrame:
-    """Dense daily panel of the valid bars: newest delivery of each key, NaN as NULL, adjusted close added."""
-    bars = spark.read.parquet(f"{sf}/{table}.parquet").select("instrument", "cal_idx", "datetime", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in PRICES], "ingested_at", "row_id")
+def market_panel(spark: SparkSession, sf: str, table: str = "bars_day", wanted: set[str] | None = None) -> DataFrame:
+    """Dense daily panel of the valid bars: newest delivery of each key, NaN as NULL, adjusted close added.
+
+    ``wanted`` fields alone are read: the choice of the newest row would keep the optimizer from dropping others.
+    """
+    needed = [c for c in PRICES if wanted is None or c in wanted or c in ("close", "factor") and "adjclose" in wanted]
+    bars = spark.read.parquet(f"{sf}/{table}.parquet").select("instrument", "cal_idx", "datetime", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in needed], "ingested_at", "row_id")
     valid = newest(bars.filter("instrument is not null and cal_idx is not null"), ["instrument", "cal_idx"], ["ingested_at", "row_id"]).drop("ingested_at", "row_id")
-    return densify(valid, spark.read.parquet(f"{sf}/trade_calendar.parquet")).withColumn("adjclose", F.col("close") * F.col("factor"))
+    panel = densify(valid, spark.read.parquet(f"{sf}/trade_calendar.parquet"))
+    return panel.withColumn("adjclose", F.col("close") * F.col("factor")) if {"close", "factor"} <= set(needed) else panel
 
 
 def with_industry(panel: DataFrame, relation: DataFrame) -> DataFrame:
@@ -51,8 +59,8 @@ def calendar_slice(calendar: DataFrame, start: str, end: str) -> DataFrame:
 
 def calendar_shift(calendar: DataFrame, shift: int) -> DataFrame:
     """(datetime, shifted): the day ``shift`` places on, clipped to the calendar's ends."""
-    ends = calendar.agg(F.min("cal_idx").alias("__a"), F.max("cal_idx").alias("__b"))
-    moved = calendar.join(F.broadcast(ends)).select("datetime", F.least(F.greatest(F.col("cal_idx") + shift, "__a"), "__b").alias("cal_idx"))  # one row
+    a, b = calendar.agg(F.min("cal_idx"), F.max("cal_idx")).first()
+    moved = calendar.select("datetime", F.least(F.greatest(F.col("cal_idx") + shift, F.lit(a)), F.lit(b)).alias("cal_idx"))
     return moved.join(calendar.select("cal_idx", F.col("datetime").alias("shifted")), "cal_idx").select("datetime", "shifted")
 
 
@@ -183,8 +191,8 @@ def append_series(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("inst
 
 def replace_range(old: DataFrame, new: DataFrame, time: str = "datetime", keys: tuple[str, ...] = ("instrument", "datetime")) -> DataFrame:
     """Old rows outside the new rows' range of time, and the new rows."""
-    ends = new.agg(F.min(time).alias("__a"), F.max(time).alias("__b"))
-    kept = old.join(F.broadcast(ends)).filter(F.col("__a").isNull() | (F.col(time) < F.col("__a")) | (F.col(time) > F.col("__b"))).drop("__a", "__b")  # one row
+    a, b = new.agg(F.min(time), F.max(time)).first()
+    kept = old if a is None else old.filter(~F.col(time).between(F.lit(a), F.lit(b)))
     return kept.unionByName(new)
 
 

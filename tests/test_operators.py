@@ -143,3 +143,18 @@ def test_own_operators_and_unknown_ones(panel):
     for bad in ("Nothing($x)", "$nothing", "Mean($x)"):
         with pytest.raises(FormulaError):
             evaluate(panel, {"v": bad})
+
+
+def test_array_kernels_agree_with_sql_windows(panel):
+    formulas = {f"f{i}": f.replace("$x, 0)", "$x, 4)") for i, f in enumerate(CASES) if "FillNan" not in f}
+    formulas |= {"skew": "Skew($x, 9)", "kurt": "Kurt($x, 9)", "corr": "Corr($x, $y, 6)", "cov": "Cov($x, $y, 6)", "resi": "Resi($x, 7)", "rsq": "Rsquare($x, 7)", "imax": "IdxMax($x, 5)", "imin": "IdxMin($x, 5)", "nested": "EMA(Delta(Mad($x, 5), 2), 8)", "cmp": "Mean($x > Ref($x, 1), 5) / ($y + 1)", "zero": "1 / $x + Log($x)", "first": "Ref($x, 0)"}
+    a, b = (evaluate(panel, formulas, engine=e).toPandas().sort_values(["instrument", "cal_idx"]) for e in ("array", "sql"))
+    for name in formulas:
+        np.testing.assert_allclose(a[name].to_numpy(float), b[name].to_numpy(float), rtol=1e-8, atol=1e-9, err_msg=formulas[name])
+
+
+def test_auto_takes_arrays_for_wide_batches_only(panel):
+    plan = lambda f: evaluate(panel, f)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan({"a": "Mean($x, 20)"})
+    assert "MapInArrow" in plan({f"a{n}": f"Mean($x, {n})" for n in range(50, 54)})
+    assert "MapInArrow" not in plan({f"a{n}": f"CSRank(Mean($x, {n}))" for n in range(50, 54)})
