@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import catalogs
 from lodestrata.operators import metrics as M
+from lodestrata.operators import orders as O
 from lodestrata.operators import portfolio as B
 from lodestrata.operators import processors as P
 from lodestrata.operators import programs as G
@@ -16,6 +17,7 @@ from lodestrata.operators import research as R
 from lodestrata.plans.compiler import evaluate
 from lodestrata.plans.engine_queries import FRAME_SQL, LABEL, PANEL_SQL, SCORE, _LAG, _WEIGHTS_SQL, _r, _rounded, frame, market, panel, same_rounding
 from lodestrata.sources import panel as S
+from lodestrata.sources.frequency import read_at
 from lodestrata.streaming import windows as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -377,3 +379,18 @@ def execution_trend(spark: SparkSession, sf: str) -> DataFrame:
 def twap_orders(spark: SparkSession, sf: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("amount"))
     return B.twap_schedule(orders, 4).select("order_id", "step", _r("part"))
+
+
+@query("base_prices", f"{_MIN}\nSELECT instrument, datetime::DATE AS day, round(avg(CASE WHEN close > 1e-8 THEN close END), 6) AS twap, round(sum(CASE WHEN close > 1e-8 THEN close * volume END) / CASE WHEN sum(CASE WHEN close > 1e-8 THEN volume END) > 0 THEN sum(CASE WHEN close > 1e-8 THEN volume END) END, 6) + 0.0 AS vwap FROM b GROUP BY 1, 2")
+def base_prices(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(O.base_prices(minutes(spark, sf).withColumn("price", F.col("close"))))
+
+
+@query("trade_hours", f"{_MIN}\nSELECT instrument, cal_idx FROM b WHERE strftime(datetime, '%H:%M') BETWEEN '09:45' AND '10:15'")
+def trade_hours(spark: SparkSession, sf: str) -> DataFrame:
+    return O.within_times(minutes(spark, sf), "09:45", "10:15").select("instrument", "cal_idx")
+
+
+@query("bars_30min", "WITH b AS (SELECT * FROM bars_1min QUALIFY row_number() OVER (PARTITION BY instrument, feed, datetime ORDER BY ingested_at DESC, bar_id DESC) = 1)\nSELECT instrument, feed, time_bucket(INTERVAL '30 minutes', datetime) AS bucket, arg_min(open, datetime) FILTER (WHERE open IS NOT NULL) AS open, max(high) AS high, min(low) AS low, arg_max(close, datetime) FILTER (WHERE close IS NOT NULL) AS close, round(sum(volume), 6) AS volume FROM b GROUP BY 1, 2, 3")
+def bars_30min(spark: SparkSession, sf: str) -> DataFrame:
+    return read_at(spark, sf, "30min").withColumn("volume", _r("volume"))
