@@ -54,26 +54,40 @@ class RollingState:
     def advance(self, rows: DataFrame) -> RollingState:
         """The next version: ``rows`` as in ``build``, arriving days late, anew or revised.
 
-        Totals change only for the days whose trailing period holds a changed key and for days new to an entity's
-        span; those are computed again from the amounts that they cover, all other rows keep their version.
+        Totals change only for the days whose trailing period holds a delivered key and for days new to an entity's
+        span. To the old total of such a day the differences of the keys in its period are added; days after the old
+        end also take the old amounts that their periods reach. All other rows keep their version.
         """
-        longest = max(self.periods)
-        both = self.amounts.unionByName(_valid(rows, self.fields))
-        fresh = _valid(rows, self.fields).select("entity", "day").distinct()
-        amounts = materialize(_newest(both, self.fields), "amounts")
+        longest, totals = max(self.periods), self.totals
+        came = materialize(_valid(rows, self.fields), "came")
+        amounts = materialize(_newest(self.amounts.unionByName(came), self.fields), "amounts")
         before, after = _span(self.amounts), _span(amounts)
         spans = after.join(before.select("entity", F.col("first").alias("f0"), F.col("last").alias("l0")), "entity", "left")
-        touched = fresh.select("entity", F.explode(F.sequence("day", F.date_add("day", longest - 1))).alias("day"))
+        reach = F.sequence("day", F.date_add("day", longest - 1))
+        touched = came.select("entity", F.explode(reach).alias("day"))
         grown = spans.filter("f0 is null or first < f0 or last > l0").select("entity", F.explode(F.sequence("first", "last")).alias("day"), "f0", "l0").filter("f0 is null or day < f0 or day > l0").select("entity", "day")
-        affected = touched.unionByName(grown).distinct().join(after, "entity").filter("day between first and last").select("entity", "day")
-        affected = materialize(affected, "affected")
-        spread = amounts.join(affected.select("entity").distinct(), "entity", "left_semi").select("entity", F.col("day").alias("from"), *self.fields).withColumn("day", F.explode(F.sequence("from", F.date_add("from", longest - 1))))
-        within = lambda f, w: F.when(F.datediff("day", "from") < w, F.col(f))
-        sums = [F.coalesce(F.sum(within(f, w)), F.lit(0)).cast(_SUM).alias(_s(f, w)) for f in self.fields for w in self.periods]
-        counts = [F.count(within(f, w)).alias(_n(f, w)) for f in self.fields for w in self.periods]
-        fresh_totals = affected.join(spread, ["entity", "day"], "left").groupBy("entity", "day").agg(*sums, *counts).withColumn("version", F.lit(self.version + 1))
-        kept = self.totals.join(affected, ["entity", "day"], "left_anti")
-        return RollingState(amounts, materialize(kept.unionByName(fresh_totals), "totals"), self.fields, self.periods, self.version + 1)
+        affected = touched.unionByName(grown).join(after, "entity").filter("day between first and last").select("entity", "day")
+
+        # each delivered key's valid amount less the one before, as far as either is there
+        keys = came.select("entity", "day")
+        then, now = (t.join(keys, ["entity", "day"], "left_semi").select("entity", "day", *self.fields) for t in (self.amounts, amounts))
+        old_tail = self.amounts.join(spans.filter("last > l0").select("entity", "l0"), "entity").filter(F.datediff("l0", "day") < longest - 1)
+        parts = [self._spread(now, 1), self._spread(then, -1), self._spread(old_tail.select("entity", "day", "l0", *self.fields), 1, beyond="l0")]
+        columns = [c for f in self.fields for w in self.periods for c in (_s(f, w), _n(f, w))]
+        blank = affected.select("entity", "day", F.lit(self.version + 1).alias("version"), *[F.lit(0).cast(_SUM if c.endswith("sum") else "bigint").alias(c) for c in columns])
+        every = reduce(DataFrame.unionByName, [totals.select("entity", "day", "version", *columns), blank, *parts])
+        summed = every.groupBy("entity", "day").agg(F.max("version").alias("version"), *[F.sum(c).cast(_SUM if c.endswith("sum") else "bigint").alias(c) for c in columns])
+        return RollingState(amounts, materialize(summed.filter("version is not null"), "totals"), self.fields, self.periods, self.version + 1)
+
+    def _spread(self, rows: DataFrame, sign: int, beyond: str | None = None) -> DataFrame:
+        """Contributions of amounts to the totals of the days whose periods hold them, without a version."""
+        days = rows.withColumn("__to", F.explode(F.sequence("day", F.date_add("day", max(self.periods) - 1))))
+        if beyond:
+            days = days.filter(F.col("__to") > F.col(beyond))
+        within = lambda f, w, x: F.when((F.datediff("__to", "day") < w) & F.col(f).isNotNull(), x)
+        sums = [(F.coalesce(within(f, w, F.col(f).cast(_SUM)), F.lit(0)) * sign).cast(_SUM).alias(_s(f, w)) for f in self.fields for w in self.periods]
+        counts = [(F.coalesce(within(f, w, F.lit(1)), F.lit(0)) * sign).cast("bigint").alias(_n(f, w)) for f in self.fields for w in self.periods]
+        return days.select("entity", F.col("__to").alias("day"), F.lit(None).cast("int").alias("version"), *sums, *counts)
 
     def trailing(self) -> DataFrame:
         """(entity, day, <field>_sum_<period>, <field>_mean_<period>...): NULL where the period holds no value."""
