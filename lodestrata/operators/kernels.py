@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from lodestrata.dsl.tree import Node
+from lodestrata.dsl.tree import Node, window_of
 
 #: Cells of a window matrix at once.
 CELLS = 2_000_000
@@ -265,7 +265,7 @@ def supported(tree: Node) -> bool:
     """Series operators only, with windows of a fixed number of rows."""
     for x in tree.walk():
         if x.kind == "call":
-            if x.name not in WINDOWS and x.name not in ELEMENTWISE:
+            if x.name not in WINDOWS and x.name not in ELEMENTWISE or x.name in WINDOWS and window_of(x) is None:
                 return False
             if x.name in WINDOWS and x.name not in ("Ref", "Delta", "EMA"):
                 n = x.args[2 if x.name in ("Corr", "Cov") else 1]
