@@ -3,7 +3,8 @@
 Every (source, session) is one chain; its states are normal, spike, stuck and out of range. What a source's
 normal behaviour is (usual move, largest ordinary amount, share of unchanged readings) comes from histograms that
 are merged over all its sessions, so that no task ever holds a whole source. Forward-backward probabilities pick
-the chains' suspicious stretches; hard bounds and the exact rules decide what is flagged.
+the chains' suspicious stretches; hard bounds and the exact rules decide what is flagged. Spikes of the close are
+looked for in every bar, whatever their probability: no posterior is sure to be looser than their rule.
 """
 
 from __future__ import annotations
@@ -218,12 +219,12 @@ def _runs(equal: np.ndarray) -> np.ndarray:
     return np.bincount(ident)[ident].reshape(n, t)
 
 
-def _spikes(log: np.ndarray, sigma: np.ndarray, suspect: np.ndarray, rules: SpikeRules) -> np.ndarray:
-    """Exact rule: at most spike_bars known bars that lie to one side of the known bars before and after; one is suspect."""
+def _spikes(log: np.ndarray, sigma: np.ndarray, rules: SpikeRules) -> np.ndarray:
+    """Exact rule: at most spike_bars known bars that lie to one side of the known bars before and after."""
     n, t = log.shape
     known = ~np.isnan(log)
     order = np.argsort(~known, axis=1, kind="stable")
-    x, s = np.take_along_axis(log, order, 1), np.take_along_axis(suspect & known, order, 1)
+    x = np.take_along_axis(log, order, 1)
     hit, least = np.zeros((n, t), bool), rules.spike_moves * sigma[:, None]
     for k in range(1, rules.spike_bars + 1):
         if t < k + 2:
@@ -232,7 +233,6 @@ def _spikes(log: np.ndarray, sigma: np.ndarray, suspect: np.ndarray, rules: Spik
         before, after = x[:, : t - k - 1], x[:, k + 1 :]
         up, down = seg.min(2) - np.fmax(before, after), np.fmin(before, after) - seg.max(2)
         found = (np.maximum(up, down) > least) & ~np.isnan(before) & ~np.isnan(after)
-        found &= np.lib.stride_tricks.sliding_window_view(s[:, 1:-1], k, axis=1).any(2)
         for j in range(k):
             hit[:, 1 + j : 1 + j + found.shape[1]] |= found
     out = np.zeros((n, t), bool)
@@ -274,7 +274,7 @@ def _flags(rules: SpikeRules):
                 excess = np.where(trades, np.log2(np.maximum(volume, 1e-300) / cap[:, None]), 0.0)
             post_c = forward_backward(_likelihoods(dev, eq_c, ~np.isnan(close), close <= 0, steady, 2.6), _STAY, _START)
             post_v = forward_backward(_likelihoods(np.maximum(excess, 0) * 5, eq_v, ~np.isnan(volume), volume < 0, same, 1.0), _STAY, _START)
-            spike_c = _spikes(log, sigma, post_c[..., SPIKE] > rules.suspicion, rules)
+            spike_c = _spikes(log, sigma, rules)
             spike_v = (post_v[..., SPIKE] > rules.suspicion) & (volume > rules.amount_factor * cap[:, None])
             out = {"close": spike_c, "volume": spike_v}
             for field, equal, post in (("close", eq_c, post_c), ("volume", eq_v, post_v)):

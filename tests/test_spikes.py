@@ -86,6 +86,37 @@ def test_a_hot_bar_is_flagged_in_all_its_copies(spark):
     assert found(spark, pd.concat([df, copies])) == {(b, "close") for b in [int(df.bar_id[50]), *range(50_000, 50_300)]}
 
 
+def spikes_by_brute_force(df: pd.DataFrame) -> set[tuple[int, str]]:
+    """Rule (b) bar by bar, for a source whose moves are usual ones or of more than six deviations."""
+    log, day = np.log(df.close.to_numpy()), df.datetime.dt.date.to_numpy()
+    move = np.diff(log)[day[1:] == day[:-1]]
+    least = 10 * np.sqrt(np.mean(move[np.abs(move) < 6 * 1.4826 * np.median(np.abs(move))] ** 2))
+    hit = set()
+    for i in range(1, len(log)):
+        for k in range(1, 6):
+            if i + k < len(log) and day[i - 1] == day[i + k]:
+                a, b, seg = log[i - 1], log[i + k], log[i : i + k]
+                if seg.min() - max(a, b) > least or min(a, b) - seg.max() > least:
+                    hit.update(range(i, i + k))
+    return {(int(b), "close") for b in df.bar_id.to_numpy()[list(hit)]}
+
+
+def test_every_spike_beyond_ten_moves_is_found(spark):
+    df = bars(days=12, seed=3)
+    log = np.log(df.close.to_numpy())
+    sigma, sizes, planted = np.diff(log.reshape(12, 240)).std(), [9.8, 10.1, 10.3, 10.5, 10.8, 11.0, 11.3, 11.6, 12.0], {}
+    for n, at in enumerate(i for i in range(20, len(df) - 20, 24) if 10 < i % 240 < 225):
+        k, size = 1 + n % 5, sizes[n // 5 % len(sizes)]
+        ends = log[at - 1], log[at + k]
+        seg = log[at : at + k]
+        log[at : at + k] += max(ends) + size * sigma - seg.min() if n % 2 else min(ends) - size * sigma - seg.max()
+        planted.update({i: size for i in range(at, at + k)})
+    df["close"] = np.exp(log)
+    want = spikes_by_brute_force(df)
+    assert want == {(int(df.bar_id[i]), "close") for i, size in planted.items() if size > 10}
+    assert found(spark, df) == want
+
+
 def test_forward_backward_matches_enumeration():
     rng = np.random.default_rng(0)
     ll, stay, start = rng.normal(size=(1, 4, 3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(3))
