@@ -30,7 +30,6 @@ class SpikeRules:
     spike_bars: int = 5  # longest spike
     amount_factor: float = 2.0  # times the largest ordinary amount
     stuck_bars: int = 12  # shortest run of one exact value
-    tail_share: float = 0.02  # largest share of a source's amounts that may be spikes
     suspicion: float = 0.05  # posterior from which a reading is examined
     window: int = 7  # bars to either side in the local level
     slots: int = 240  # minutes of a session
@@ -142,7 +141,11 @@ def _sessions(rules: SpikeRules):
 
 
 def _params(rules: SpikeRules):
-    """From a source's merged histograms its usual move, its largest ordinary amount and its shares of unchanged readings."""
+    """From a source's merged histograms its usual move, its largest ordinary amount and its shares of unchanged readings.
+
+    The largest ordinary amount lies below the lowest gap of amount_factor in the upper half of the source's positive
+    amounts: what lies above is spikes, however many up to half. More than that are the source's normal behaviour.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,7 +164,7 @@ def _params(rules: SpikeRules):
                     sigma = float(np.sqrt(sum(s for _, s in near) / sum(c for c, _ in near)))
                 sizes = sorted(((x["bin"], x["cnt"], x["lo"], x["hi"]) for x in h if x["kind"] == 1), reverse=True)
                 cap, above = (sizes[0][3] if sizes else float("inf")), 0
-                most = max(3, rules.tail_share * sum(x[1] for x in sizes))
+                most = max(3, sum(x[1] for x in sizes) / 2)
                 for upper, lower in zip(sizes, sizes[1:]):
                     above += upper[1]
                     if above > most:

@@ -86,6 +86,16 @@ def test_a_hot_bar_is_flagged_in_all_its_copies(spark):
     assert found(spark, pd.concat([df, copies])) == {(b, "close") for b in [int(df.bar_id[50]), *range(50_000, 50_300)]}
 
 
+@pytest.mark.parametrize("days, bars_kept, spikes", [(1, 213, 5), (3, 720, 72), (3, 720, 300)])
+def test_sources_with_many_volume_spikes(spark, days, bars_kept, spikes):
+    df, rng = bars(days=days, seed=4).iloc[:bars_kept].reset_index(drop=True), np.random.default_rng(5)
+    top = df.volume.max()
+    at = rng.choice(bars_kept, spikes, replace=False)
+    at = at[df.volume[at] < top]
+    df.loc[at, "volume"] = np.round(top * rng.uniform(2.05, 9, len(at)), 2)
+    assert found(spark, pd.concat([df, bars(seed=2)])) == {(int(b), "volume") for b in df.bar_id.to_numpy()[at]}
+
+
 def spikes_by_brute_force(df: pd.DataFrame) -> set[tuple[int, str]]:
     """Rule (b) bar by bar, for a source whose moves are usual ones or of more than six deviations."""
     log, day = np.log(df.close.to_numpy()), df.datetime.dt.date.to_numpy()
