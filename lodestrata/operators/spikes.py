@@ -106,11 +106,13 @@ def _sessions(rules: SpikeRules):
             same = np.zeros_like(steady)
             same[:, 1:] = (volume[:, 1:] == volume[:, :-1]) & (volume[:, 1:] > 0)
             traded = (volume > 0).sum(1)
-        for k, (h, x, a, b, t) in enumerate(zip(hist, more, steady.sum(1).tolist(), same.sum(1).tolist(), traded.tolist())):
+            still = (move == 0).sum(1)
+        for k, (h, x, a, b, t, z) in enumerate(zip(hist, more, steady.sum(1).tolist(), same.sum(1).tolist(), traded.tolist(), still.tolist())):
             h.extend(x)
             h.append({"kind": 2, "bin": 0, "cnt": t, "ss": 0.0, "lo": 0.0, "hi": 0.0})
             h.append({"kind": 2, "bin": 1, "cnt": a, "ss": 0.0, "lo": 0.0, "hi": 0.0})
             h.append({"kind": 2, "bin": 2, "cnt": b, "ss": 0.0, "lo": 0.0, "hi": 0.0})
+            h.append({"kind": 2, "bin": 3, "cnt": z, "ss": 0.0, "lo": 0.0, "hi": 0.0})
         pack = lambda m, kind: pa.array([x.tobytes() for x in m.astype(kind)], pa.binary())
         return pa.RecordBatch.from_arrays(
             [table["src"].combine_chunks().take(pa.array(change)), table["day"].combine_chunks().take(pa.array(change)), pa.array([x.tobytes() for x in np.packbits(seen, axis=1)], pa.binary()), pack(close, "f8"), pack(volume, "f8"), pa.array(hist, _HIST)],
@@ -145,12 +147,15 @@ def _params(rules: SpikeRules):
 
     The largest ordinary amount lies below the lowest gap of amount_factor in the upper half of the source's positive
     amounts: what lies above is spikes, however many up to half. More than that are the source's normal behaviour.
+    The usual move is the deviation of all log returns, those of zero included; outliers are told by the non-zero ones,
+    as the median of all is zero where prices are mostly carried on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             srcs, out = b.column("src").to_pylist(), []
             for h in b.column("h").to_pylist():
+                n = {x["bin"]: x["cnt"] for x in h if x["kind"] == 2}
                 moves = sorted((x["bin"], x["cnt"], x["ss"]) for x in h if x["kind"] == 0)
                 sigma = 0.0
                 if moves:
@@ -161,7 +166,7 @@ def _params(rules: SpikeRules):
                             break
                     cut = mid + RETURN_BINS * np.log2(6 * 1.4826)
                     near = [(c, s) for k, c, s in moves if k <= cut]
-                    sigma = float(np.sqrt(sum(s for _, s in near) / sum(c for c, _ in near)))
+                    sigma = float(np.sqrt(sum(s for _, s in near) / (sum(c for c, _ in near) + n.get(3, 0))))
                 sizes = sorted(((x["bin"], x["cnt"], x["lo"], x["hi"]) for x in h if x["kind"] == 1), reverse=True)
                 cap, above = (sizes[0][3] if sizes else float("inf")), 0
                 most = max(3, sum(x[1] for x in sizes) / 2)
@@ -171,7 +176,6 @@ def _params(rules: SpikeRules):
                         break
                     if upper[2] > rules.amount_factor * lower[3]:
                         cap = lower[3]
-                n = {x["bin"]: x["cnt"] for x in h if x["kind"] == 2}
                 out.append((sigma, cap, n.get(1, 0) / max(1, n.get(0, 0)), n.get(2, 0) / max(1, n.get(0, 0))))
             cols = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(srcs, pa.string()), *(pa.array(c, pa.float64()) for c in cols)], names=["src", "sigma", "cap", "steady", "same"])

@@ -111,6 +111,20 @@ def spikes_by_brute_force(df: pd.DataFrame) -> set[tuple[int, str]]:
     return {(int(b), "close") for b in df.bar_id.to_numpy()[list(hit)]}
 
 
+def test_usual_moves_of_thin_sources_count_zero_moves(spark):
+    df, rng = bars(days=4, seed=6), np.random.default_rng(7)
+    idle = rng.random(len(df)) < 0.5
+    idle[::240] = False
+    df.loc[idle, "volume"] = 0.0
+    log = pd.Series(np.log(df.close)).where(~idle).ffill().to_numpy().copy()
+    sigma = np.sqrt(np.mean(np.diff(log.reshape(4, 240)) ** 2))
+    at = np.array([i for i in range(20, len(df) - 20, 60) if 10 < i % 240 < 225])
+    size = np.resize([9.0, 11.0, 12.0, 13.0], len(at))
+    log[at] = np.fmax(log[at - 1], log[at + 1]) + size * sigma
+    df["close"] = np.exp(log)
+    assert found(spark, df) == {(int(b), "close") for b in df.bar_id.to_numpy()[at[size > 10]]}
+
+
 def test_every_spike_beyond_ten_moves_is_found(spark):
     df = bars(days=12, seed=3)
     log = np.log(df.close.to_numpy())
