@@ -49,9 +49,9 @@ def squash(columns: list[str]) -> Processor:
 
 
 def infinite_to_mean(columns: list[str]) -> Processor:
-    """Infinite values become the day's mean of the others."""
+    """Infinite values become the day's mean of the others, missing ones aside; NULL where a day has no others."""
     wild = lambda x: F.abs(x) == float("inf")
-    return lambda df: _each(df, columns, lambda x: F.when(wild(x), F.avg(F.when(~wild(x), x)).over(_day())).otherwise(x))
+    return lambda df: _each(df, columns, lambda x: F.when(wild(x), F.avg(F.when(~wild(x) & ~F.isnan(x), x)).over(_day())).otherwise(x))
 
 
 def day_zscore(columns: list[str]) -> Processor:

@@ -50,6 +50,8 @@ _panel_query("cs_zscore_norm", P.day_zscore(["close"]), f"(close - avg(close) {_
 _panel_query("cs_robust", P.day_robust(["close"]), f"CASE WHEN close IS NOT NULL AND median(abs(close - m)) {_D} > 0 THEN greatest(-3.0, least(3.0, (close - m) / (median(abs(close - m)) {_D} * 1.4826))) END", f"(SELECT *, median(close) {_D} AS m FROM panel)")
 _panel_query("cs_rank_norm", P.day_rank(["close"]), "CASE WHEN close IS NOT NULL THEN ((rank() OVER (PARTITION BY datetime, close IS NULL ORDER BY close) + (count(*) OVER (PARTITION BY datetime, close) - 1) / 2.0) / count(close) OVER (PARTITION BY datetime) - 0.5) * 3.46 END")
 _panel_query("cs_inf", P.pipeline(lambda df: df.withColumn("close", F.when(F.pmod("cal_idx", F.lit(50)) == 0, F.lit(float("inf"))).otherwise(F.col("close"))), P.infinite_to_mean(["close"]), lambda df: df.filter("pmod(cal_idx, 50) != 0")), "close", "(SELECT * FROM panel WHERE cal_idx % 50 <> 0)")
+_WILD = "(cal_idx + ascii(right(instrument, 1))) % 5 = 0"
+_panel_query("cs_inf_some", P.pipeline(lambda df: df.withColumn("close", F.when(F.expr(f"close IS NOT NULL AND {_WILD}"), F.when(F.pmod("cal_idx", F.lit(2)) == 0, float("inf")).otherwise(float("-inf"))).otherwise(F.col("close"))), P.infinite_to_mean(["close"])), f"CASE WHEN wild AND close IS NOT NULL THEN avg(CASE WHEN NOT wild THEN close END) {_D} ELSE close END", f"(SELECT *, {_WILD} AS wild FROM panel)")
 for _kind, _sql in {
     "minmax": "(close - (SELECT min(close) FROM f)) / (SELECT max(close) - min(close) FROM f)",
     "zscore": "(close - (SELECT avg(close) FROM f)) / (SELECT stddev_pop(close) FROM f)",

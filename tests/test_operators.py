@@ -6,6 +6,7 @@ import pytest
 from lodestrata.dsl.tree import FormulaError
 from lodestrata.functions import registry
 from lodestrata.functions.registry import Context
+from lodestrata.operators.processors import infinite_to_mean
 from lodestrata.plans.compiler import evaluate
 
 RNG = np.random.default_rng(5)
@@ -158,3 +159,12 @@ def test_auto_takes_arrays_for_wide_batches_only(panel):
     assert "MapInArrow" not in plan({"a": "Mean($x, 20)"})
     assert "MapInArrow" in plan({f"a{n}": f"Mean($x, {n})" for n in range(50, 54)})
     assert "MapInArrow" not in plan({f"a{n}": f"CSRank(Mean($x, {n}))" for n in range(50, 54)})
+
+
+def test_infinite_values_become_the_mean_of_the_others(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, "a", inf), (1, "b", 2.0), (1, "c", 4.0), (1, "d", -inf), (1, "e", None), (1, "f", nan), (2, "a", -inf), (2, "b", 7.0), (3, "a", inf), (4, "a", 5.0)]
+    df = spark.createDataFrame([(f"2024-01-0{d}", i, x) for d, i, x in rows], "datetime string, instrument string, x double")
+    got = {(int(r.datetime[-1]), r.instrument): r.x for r in infinite_to_mean(["x"])(df).collect()}
+    assert np.isnan(got.pop((1, "f")))
+    assert got == {(1, "a"): 3.0, (1, "b"): 2.0, (1, "c"): 4.0, (1, "d"): 3.0, (1, "e"): None, (2, "a"): 7.0, (2, "b"): 7.0, (3, "a"): None, (4, "a"): 5.0}
