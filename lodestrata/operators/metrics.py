@@ -142,11 +142,26 @@ def rank_stability_common(df: DataFrame, least: int = 2) -> DataFrame:
     return p.groupBy("datetime").agg(F.sum(F.col("p") * F.ln(F.col("p") / F.col("q"))).alias("kl"), F.count(F.lit(1)).alias("n_common")).withColumn("rre", 1 / (1 + F.col("kl")))
 
 
+def hashed_normal(*parts: Column, at: int = 0) -> Column:
+    """A normal number that a hash of the row and of ``parts`` fixes; ``at``, an even number, tells numbers of one key apart."""
+    u = lambda k: (F.pmod(F.xxhash64("datetime", "instrument", *parts, F.lit(k)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    return F.sqrt(-2 * F.ln(u(at))) * F.cos(2 * np.pi * u(at + 1))
+
+
+def hashed_noise(kind: str, scale: float, dof: int, *parts: Column) -> Column:
+    """gaussian, or student_t of ``dof`` degrees brought to the same deviation."""
+    z = hashed_normal(*parts)
+    if kind == "gaussian":
+        return scale * z
+    if kind != "student_t":
+        raise ValueError(f"unknown noise {kind!r}")
+    chi = sum((F.pow(hashed_normal(*parts, at=2 * k), F.lit(2.0)) for k in range(1, dof + 1)), F.lit(0.0))
+    return scale * float(np.sqrt((dof - 2) / dof)) * z / F.sqrt(chi / dof)
+
+
 def noise_stability(df: DataFrame, scale: float = 0.1, seed: int = 7) -> DataFrame:
     """(datetime, pfs): correlation of scores with themselves times 1 + noise, which a hash of the row fixes."""
-    u = lambda k: (F.pmod(F.xxhash64("datetime", "instrument", F.lit(seed), F.lit(k)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    normal = F.sqrt(-2 * F.ln(u(0))) * F.cos(2 * np.pi * u(1))
-    return clean(df).withColumn("noisy", F.col("score") * (1 + scale * normal)).groupBy("datetime").agg(correlation(F.col("score"), F.col("noisy")).alias("pfs"))
+    return clean(df).withColumn("noisy", F.col("score") * (1 + scale * hashed_normal(F.lit(seed)))).groupBy("datetime").agg(correlation(F.col("score"), F.col("noisy")).alias("pfs"))
 
 
 def covariance(df: DataFrame, columns: list[str]) -> np.ndarray:

@@ -3,18 +3,63 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.dsl.tree import extent, parse, to_text
+from lodestrata.dsl.tree import extent, fields, parse, to_text
 from lodestrata.functions.registry import percent_rank, zscore
-from lodestrata.operators.metrics import correlation, finite, lagged_days
+from lodestrata.operators.metrics import correlation, finite, hashed_noise, lagged_days
 from lodestrata.plans.compiler import evaluate
 
 
 # Signals.
 
+PFS_MODES = ("legacy", "paper", "relative")
+
+
+def market_volatility(frame: DataFrame) -> float:
+    """Deviation over days of the mean ``score`` (a return) of the day's names."""
+    days = frame.groupBy("datetime").agg(F.avg(finite("score")).alias("r"))
+    return days.agg(F.stddev_samp("r")).first()[0] or 0.0
+
+
+def perturbation_fidelity(panel: DataFrame, formula: str, sigma: float, mode: str = "paper", draws: int = 3, seed: int = 0, dof: int = 3) -> DataFrame:
+    """One row (mode, gaussian, student_t, least, gaussian_sd, student_t_sd): how far a factor stays itself under noise.
+
+    legacy: scores times 1 + noise, Pearson; paper: noise added to each field, and relative: each field times 1 + noise,
+    of which the formula is computed anew, Spearman. Each kind of noise is drawn ``draws`` times; a draw counts by the
+    mean of its daily correlations, a kind by the mean of its draws, and the deviation over draws stands beside it.
+    Noise is fixed by hashes of row, field, kind, draw, seed and mode, so that all formulas meet the same one.
+    """
+    if mode not in PFS_MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    copies = {f"{kind}_{d}": kind for kind in ("gaussian", "student_t") for d in range(draws)}
+    noise = lambda name, of: hashed_noise(copies[name], sigma, dof, F.lit(f"{mode}|{of}|{name}|{seed}"))
+    if mode == "legacy":
+        rows = evaluate(panel, {"score": formula})
+        rows = rows.withColumns({name: F.col("score") * (1 + noise(name, "")) for name in copies})
+    else:
+        text = to_text(parse(formula))
+        names = sorted(fields(parse(formula)))
+        noisy = {f"{c}__{name}": F.col(c) + noise(name, c) if mode == "paper" else F.col(c) * (1 + noise(name, c)) for c in names for name in copies}
+        versions = {name: re.sub(r"\$(\w+)", rf"$\1__{name}", text) for name in copies}
+        rows = evaluate(panel.withColumns(noisy), {"score": text, **versions})
+    pairs = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("draw"), finite(name).alias("noisy")) for name, kind in copies.items()]))
+    rows = rows.select("datetime", finite("score").alias("score"), pairs.alias("p")).select("datetime", "score", "p.*").dropna(subset=["score", "noisy"])
+    by = ("kind", "draw", "datetime")
+    if mode != "legacy":
+        rank = lambda c: F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2
+        rows = rows.select(*by, rank("score").alias("score"), rank("noisy").alias("noisy"))
+    daily = rows.groupBy(*by).agg(correlation(F.col("score"), F.col("noisy")).alias("r"))
+    each = daily.groupBy("kind", "draw").agg(F.avg("r").alias("r"))
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("r"))
+    out = each.agg(*[f(of(kind)).alias(kind + end) for f, end in ((F.avg, ""), (F.stddev_pop, "_sd")) for kind in ("gaussian", "student_t")])
+    least = F.when(F.col("gaussian").isNotNull() & F.col("student_t").isNotNull(), F.least("gaussian", "student_t"))
+    return out.select(F.lit(mode).alias("mode"), "gaussian", "student_t", least.alias("least"), "gaussian_sd", "student_t_sd")
+
+
 
 def average_ensemble(frames: list[DataFrame]) -> DataFrame:
     """Mean of the frames' daily z-scores (sample deviation); rows that a frame lacks don't count for it."""

@@ -321,6 +321,14 @@ def replace_range(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Further research steps.
+@query("pfs_modes")
+def pfs_modes(spark: SparkSession, sf: str) -> DataFrame:
+    sigma = R.market_volatility(market(spark, sf, {"score": "$close / Ref($close, 1) - 1"}))
+    prices = S.market_panel(spark, sf, wanted={"close", "volume"})
+    each = [R.perturbation_fidelity(prices, "$close / Ref($close, 5) - Corr($close, $volume, 10)", sigma, mode) for mode in R.PFS_MODES]
+    return _rounded(each[0].unionByName(each[1]).unionByName(each[2]))
+
+
 _PCT = "(rank() OVER (PARTITION BY datetime, {x} IS NULL ORDER BY {x}) + (count(*) OVER (PARTITION BY datetime, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY datetime)"
 
 

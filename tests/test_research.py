@@ -9,6 +9,7 @@ from lodestrata.dsl.tree import parse, size, to_text
 from lodestrata.functions.registry import SYMBOLIC
 from lodestrata.operators import research as R
 from lodestrata.operators import risk_models as K
+from lodestrata.operators.metrics import hashed_noise
 from lodestrata.plans.compiler import evaluate
 from lodestrata.sources import panel as S
 from pyspark.sql import functions as F
@@ -110,3 +111,34 @@ def test_gaps_are_filled_between_first_and_last(spark):
     got = [(r.instrument, r.cal_idx, r.close) for r in S.densify(rows, cal).orderBy("instrument", "cal_idx").collect()]
     assert got == [("a", 2, 1.0), ("a", 3, None), ("a", 4, None), ("a", 5, 2.0), ("b", 7, 3.0)]
     assert S.densify(rows.filter("false"), cal).count() == 0
+
+
+@pytest.mark.parametrize("mode", R.PFS_MODES)
+def test_fidelity_is_the_mean_over_draws_of_both_kinds_of_noise(panel, mode):
+    formula, sigma = "$close / Ref($close, 1) - $open", 0.3
+    got = R.perturbation_fidelity(panel, formula, sigma, mode, draws=2, seed=5).first()
+    noise = [hashed_noise(k, sigma, 3, F.lit(f"{mode}|{c}|{k}_{d}|5")).alias(f"{c or 'score'}|{k}|{d}") for k in ("gaussian", "student_t") for d in range(2) for c in ([""] if mode == "legacy" else ["close", "open"])]
+    df = panel.select("instrument", "cal_idx", "datetime", "close", "open", *noise).toPandas().sort_values(["instrument", "cal_idx"])
+    score = lambda close, open_: close / close.groupby(df.instrument).shift(1) - open_
+    clear, want = score(df.close, df.open), {"gaussian": [], "student_t": []}
+    for kind, each in want.items():
+        for d in range(2):
+            eps = lambda c: df[f"{c}|{kind}|{d}"]  # noqa: B023, E731
+            if mode == "legacy":
+                noisy = clear * (1 + eps("score"))
+            elif mode == "paper":
+                noisy = score(df.close + eps("close"), df.open + eps("open"))
+            else:
+                noisy = score(df.close * (1 + eps("close")), df.open * (1 + eps("open")))
+            both = df.assign(a=clear, b=noisy).dropna(subset=["a", "b"])
+            each.append(both.groupby("datetime")[["a", "b"]].apply(lambda g: (g if mode == "legacy" else g.rank()).corr().iloc[0, 1]).mean())
+    assert got.gaussian == pytest.approx(np.mean(want["gaussian"])) and got.student_t == pytest.approx(np.mean(want["student_t"]))
+    assert got.gaussian_sd == pytest.approx(np.std(want["gaussian"])) and got.student_t_sd == pytest.approx(np.std(want["student_t"]))
+    assert got.least == min(got.gaussian, got.student_t) and got.gaussian_sd > 0
+    assert R.perturbation_fidelity(panel, formula, 0.0, mode).first().least == pytest.approx(1)
+
+
+def test_both_kinds_of_noise_have_one_deviation(spark):
+    df = spark.range(200_000).select(F.col("id").alias("datetime"), F.lit("a").alias("instrument"))
+    row = df.agg(*[F.stddev_samp(hashed_noise(k, 0.2, 9, F.lit("x"))) for k in ("gaussian", "student_t")]).first()
+    assert row[0] == pytest.approx(0.2, rel=0.02) and row[1] == pytest.approx(0.2, rel=0.02)
