@@ -310,11 +310,20 @@ def _to_simplex(v: np.ndarray) -> np.ndarray:
 
 
 def shrunk_covariance(cov: np.ndarray, n_rows: int, target: str = "const_var") -> np.ndarray:
-    """Covariance drawn towards a simple target by the oracle-approximating intensity."""
+    """Covariance drawn towards a simple target by the oracle-approximating intensity.
+
+    Targets: const_var, const_corr, and single_factor, the mean of all names, whose covariances follow from ``cov``.
+    """
     p = len(cov)
     mu = np.trace(cov) / p
     if target == "const_var":
         goal = mu * np.eye(p)
+    elif target == "single_factor":
+        to_mean = cov.mean(axis=1)
+        goal = np.outer(to_mean, to_mean) / max(cov.mean(), 1e-300)
+        np.fill_diagonal(goal, np.diag(cov))
+    elif target != "const_corr":
+        raise ValueError(f"unknown target {target!r}")
     else:
         sd = np.sqrt(np.diag(cov))
         corr = cov / np.outer(sd, sd)

@@ -103,3 +103,17 @@ def test_simulated_account_never_overspends(spark):
     out = B.simulate_topk(spark.createDataFrame(rows, "account string, datetime timestamp, instrument string, score double, price double, factor double, amount double"), 5, 2).orderBy("datetime").toPandas()
     assert (out.cash >= 0).all() and (out.n_held <= 5).all() and len(out) == 8
     assert isinstance(out, pd.DataFrame)
+
+
+def test_shrinkage_towards_a_single_factor():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 5))
+    x -= x.mean(axis=0)
+    cov, mean = x.T @ x / 60, x.mean(axis=1)
+    goal = np.outer(x.T @ mean / 60, x.T @ mean / 60) / (mean @ mean / 60)
+    np.fill_diagonal(goal, np.diag(cov))
+    tr2, p, mu = np.sum(cov * cov), 5, np.trace(cov) / 5
+    rho = min(1.0, ((1 - 2 / p) * tr2 + (p * mu) ** 2) / ((60 + 1 - 2 / p) * (tr2 - (p * mu) ** 2 / p)))
+    np.testing.assert_allclose(B.shrunk_covariance(cov, 60, "single_factor"), (1 - rho) * cov + rho * goal)
+    with pytest.raises(ValueError):
+        B.shrunk_covariance(cov, 60, "constant")
