@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.storage import materialize, salted_join
+from lodestrata.storage import materialize, skew_join
 
 NORMAL, SPIKE, STUCK, OUT = range(4)
 
@@ -30,7 +30,8 @@ class SpikeRules:
     spike_bars: int = 5  # longest spike
     amount_factor: float = 2.0  # times the largest ordinary amount
     stuck_bars: int = 12  # shortest run of one exact value
-    suspicion: float = 0.05  # posterior from which a reading is examined
+    suspicion: float = 0.05  # posterior from which a run is examined
+    certainty: float = 0.5  # posterior from which an amount beyond the factor is a spike
     window: int = 7  # bars to either side in the local level
     slots: int = 240  # minutes of a session
 
@@ -142,6 +143,9 @@ def _sessions(rules: SpikeRules):
     return run
 
 
+_PARAMS = ("sigma", "cap", "level", "spread", "raised", "steady", "same")
+
+
 def _params(rules: SpikeRules):
     """From a source's merged histograms its usual move, its largest ordinary amount and its shares of unchanged readings.
 
@@ -149,6 +153,9 @@ def _params(rules: SpikeRules):
     amounts: what lies above is spikes, however many up to half. More than that are the source's normal behaviour.
     The usual move is the deviation of all log returns, those of zero included; outliers are told by the non-zero ones,
     as the median of all is zero where prices are mostly carried on.
+    A gap may also lie between two ordinary amounts of a thin source. So level and spread of the logarithms of the
+    amounts below it are kept, and the share of those above it, as which the model expects a spike: an amount beyond
+    the gap is a spike only if the chain finds it likelier than an ordinary one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,39 +183,54 @@ def _params(rules: SpikeRules):
                         break
                     if upper[2] > rules.amount_factor * lower[3]:
                         cap = lower[3]
-                out.append((sigma, cap, n.get(1, 0) / max(1, n.get(0, 0)), n.get(2, 0) / max(1, n.get(0, 0))))
-            cols = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(srcs, pa.string()), *(pa.array(c, pa.float64()) for c in cols)], names=["src", "sigma", "cap", "steady", "same"])
+                ordinary = [(x[1], (x[0] + 0.5) * np.log(2) / AMOUNT_BINS) for x in sizes if x[3] <= cap]
+                some = max(1, sum(c for c, _ in ordinary))
+                level = sum(c * v for c, v in ordinary) / some
+                spread = float(np.sqrt(sum(c * (v - level) ** 2 for c, v in ordinary) / some))
+                raised = sum(x[1] for x in sizes if x[3] > cap)
+                traded = max(1, n.get(0, 0))
+                out.append((sigma, cap, level, spread, (raised + 1) / (raised + some + 1000), n.get(1, 0) / traded, n.get(2, 0) / traded))
+            cols = list(zip(*out)) or [[]] * len(_PARAMS)
+            yield pa.RecordBatch.from_arrays([pa.array(srcs, pa.string()), b.column("sessions"), *(pa.array(c, pa.float64()) for c in cols)], names=["src", "sessions", *_PARAMS])
 
     return run
 
 
 def forward_backward(loglik: np.ndarray, stay: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Posterior [chain, time, state] of a hidden Markov model; loglik [chain, time, state], stay = transitions."""
+    """Posterior [chain, time, state] of a hidden Markov model; loglik [chain, time, state], stay [from, to] or [chain, from, to]."""
     lik = np.exp(loglik - loglik.max(axis=2, keepdims=True)) + 1e-300
     n, t, k = lik.shape
     alpha, beta = np.empty((t, n, k)), np.empty((t, n, k))
     lik = np.ascontiguousarray(lik.transpose(1, 0, 2))
     a = start * lik[0]
     alpha[0] = a / a.sum(1, keepdims=True)
+    step = (lambda x, m: x @ m) if stay.ndim == 2 else (lambda x, m: (x[:, None, :] @ m)[:, 0])
     for i in range(1, t):
-        a = (alpha[i - 1] @ stay) * lik[i]
+        a = step(alpha[i - 1], stay) * lik[i]
         alpha[i] = a / a.sum(1, keepdims=True)
     beta[-1] = 1.0
-    back = stay.T.copy()
+    back = np.swapaxes(stay, -1, -2).copy()
     for i in range(t - 2, -1, -1):
-        b = (beta[i + 1] * lik[i + 1]) @ back
+        b = step(beta[i + 1] * lik[i + 1], back)
         beta[i] = b / b.sum(1, keepdims=True)
     post = alpha * beta
     post /= post.sum(2, keepdims=True)
     return post.transpose(1, 0, 2)
 
 
-#: Transitions between normal, spike, stuck and out of range.
+#: Transitions between normal, spike, stuck and out of range; the first row's spikes are as frequent as in the source.
 _STAY = np.array([[0.9968, 0.001, 0.002, 0.0002], [0.4, 0.59, 0.005, 0.005], [0.05, 0.005, 0.94, 0.005], [0.6, 0.05, 0.05, 0.3]])
 _START = np.array([0.99, 0.004, 0.004, 0.002])
 
 
+def _transitions(raised: np.ndarray) -> np.ndarray:
+    """Transitions [source, from, to] for sources with a share of raised readings."""
+    stay = np.repeat(_STAY[None], len(raised), 0)
+    stay[:, 0, SPIKE] = np.clip(raised, 1e-4, 0.3)
+    stay[:, 0, NORMAL] = 1 - stay[:, 0, SPIKE] - _STAY[0, STUCK] - _STAY[0, OUT]
+    return stay
+
+
 def _local_level(log: np.ndarray, w: int) -> np.ndarray:
     """Median of the known values within w bars to either side."""
     padded = np.pad(log, ((0, 0), (w, w)), constant_values=np.nan)
@@ -269,8 +291,8 @@ def _flags(rules: SpikeRules):
                 continue
             unpack = lambda name: np.frombuffer(b"".join(b.column(name).to_pylist()), "f8").reshape(n, rules.slots)
             close, volume = unpack("close"), unpack("volume")
-            sigma, cap, steady, same = (b.column(x).to_numpy(zero_copy_only=False) for x in ("sigma", "cap", "steady", "same"))
-            sigma = np.maximum(sigma, 1e-9)
+            sigma, cap, level, spread, raised, steady, same = (b.column(x).to_numpy(zero_copy_only=False) for x in _PARAMS)
+            sigma, spread = np.maximum(sigma, 1e-9), np.maximum(spread, 0.1)
             trades = np.nan_to_num(volume) > 0
             with np.errstate(all="ignore"):
                 log = np.log(np.where(close > 0, close, np.nan))
@@ -278,11 +300,11 @@ def _flags(rules: SpikeRules):
                 eq_c, eq_v = np.zeros(close.shape, bool), np.zeros(close.shape, bool)
                 eq_c[:, 1:] = (close[:, 1:] == close[:, :-1]) & trades[:, 1:] & trades[:, :-1] & (close[:, 1:] != 0)
                 eq_v[:, 1:] = (volume[:, 1:] == volume[:, :-1]) & trades[:, 1:]
-                excess = np.where(trades, np.log2(np.maximum(volume, 1e-300) / cap[:, None]), 0.0)
+                excess = np.where(trades, (np.log(np.maximum(volume, 1e-300)) - level[:, None]) / spread[:, None], 0.0)
             post_c = forward_backward(_likelihoods(dev, eq_c, ~np.isnan(close), close <= 0, steady, 2.6), _STAY, _START)
-            post_v = forward_backward(_likelihoods(np.maximum(excess, 0) * 5, eq_v, ~np.isnan(volume), volume < 0, same, 1.0), _STAY, _START)
+            post_v = forward_backward(_likelihoods(np.maximum(excess, 0), eq_v, ~np.isnan(volume), volume < 0, same, 1.0), _transitions(raised), _START)
             spike_c = _spikes(log, sigma, rules)
-            spike_v = (post_v[..., SPIKE] > rules.suspicion) & (volume > rules.amount_factor * cap[:, None])
+            spike_v = (post_v[..., SPIKE] > rules.certainty) & (volume > rules.amount_factor * cap[:, None])
             out = {"close": spike_c, "volume": spike_v}
             for field, equal, post in (("close", eq_c, post_c), ("volume", eq_v, post_v)):
                 starts = ~equal
@@ -301,7 +323,7 @@ def _flags(rules: SpikeRules):
     return run
 
 
-def flag_implausible(bars: DataFrame, rules: SpikeRules = SpikeRules(), salts: int = 16) -> DataFrame:
+def flag_implausible(bars: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
     """Rows (bar_id, field) of the implausible ``close`` and ``volume`` readings of minute bars.
 
     A source is one (instrument, feed), NULLs being values of their own. Readings that are NULL or NaN are never
@@ -317,9 +339,10 @@ def flag_implausible(bars: DataFrame, rules: SpikeRules = SpikeRules(), salts: i
     distinct = inside.groupBy("src", "day", "slot", "close", "volume").agg(F.coalesce(F.max("at"), F.lit(0)).alias("at"))
     ordered = distinct.repartition("src", "day").sortWithinPartitions("src", "day", "slot", "at", "close", "volume")
     sessions = materialize(ordered.select("src", "day", "slot", "close", "volume").mapInArrow(_sessions(rules), _SESSION), "sessions")
-    merged = sessions.select("src", F.explode("hist").alias("h")).groupBy("src", "h.kind", "h.bin").agg(F.sum("h.cnt").alias("cnt"), F.sum("h.ss").alias("ss"), F.min("h.lo").alias("lo"), F.max("h.hi").alias("hi"))
-    params = merged.groupBy("src").agg(F.collect_list(F.struct("kind", "bin", "cnt", "ss", "lo", "hi")).alias("h")).mapInArrow(_params(rules), "src string, sigma double, cap double, steady double, same double")
-    flagged = salted_join(sessions.drop("hist"), params, ["src"], F.col("day"), salts).mapInArrow(_flags(rules), "src string, day int, slot int, field string, value double")
+    merged = sessions.select("src", F.explode("hist").alias("h")).groupBy("src", "h.kind", "h.bin").agg(F.sum("h.cnt").alias("cnt"), F.sum("h.ss").alias("ss"), F.min("h.lo").alias("lo"), F.max("h.hi").alias("hi"), F.count("*").alias("sessions"))
+    params = merged.groupBy("src").agg(F.collect_list(F.struct("kind", "bin", "cnt", "ss", "lo", "hi")).alias("h"), F.max("sessions").alias("sessions"))
+    params = materialize(params.mapInArrow(_params(rules), "src string, sessions bigint, " + ", ".join(f"{c} double" for c in _PARAMS)), "sources")
+    flagged = skew_join(sessions.drop("hist"), params, ["src"], "sessions", sessions.count()).mapInArrow(_flags(rules), "src string, day int, slot int, field string, value double")
     flagged = materialize(flagged, "flagged")
     value = F.when(F.col("field") == "close", F.col("close")).otherwise(F.col("volume"))
     by_model = inside.drop("at").join(flagged, ["src", "day", "slot"]).filter(value == F.col("value")).select("bar_id", "field", F.when(F.col("field") == "close", F.col("value") > 0).otherwise(F.col("value") >= 0).alias("ok")).filter("ok").drop("ok")

@@ -3,35 +3,52 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where it is unset (tests) a temporary folder is set once."""
+    """The cluster's ``spark.checkpoint.dir``.
+
+    Where it is unset a temporary folder is set once, but only on a local master: on a cluster every executor would
+    write to a disk of its own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lodestrata-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def new_table(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder for a table that goes when the application ends, or with ``release``."""
+    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def append_table(df: DataFrame, path: str) -> None:
+    """Add rows to a table of ``new_table``."""
+    df.write.mode("append").parquet(path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return a reader of the written table.
 
     Unlike a cache it survives the loss of executors, and unlike ``checkpoint()`` it is columnar, so that later
-    readers prune columns. The files go when the application ends, or with ``release``.
+    readers prune columns.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    path = new_table(df.sparkSession, label)
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession | None = None) -> None:
@@ -50,12 +67,22 @@ def release(spark: SparkSession | None = None) -> None:
 atexit.register(release)
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], salt: Column, salts: int = 16, how: str = "inner") -> DataFrame:
-    """Equi-join in which ``small`` has one row per key and a key may hold a large part of ``big``.
+#: A key is heavy if it has at least this share of the rows; so at most 1 / HEAVY_SHARE keys are, which are broadcast.
+HEAVY_SHARE = 1 / 2000
+
+
+def skew_join(big: DataFrame, small: DataFrame, on: list[str], weight: str, total: int, share: float = HEAVY_SHARE) -> DataFrame:
+    """Inner equi-join in which ``small`` has one row per key and a key may hold a large part of ``big``.
 
-    ``small`` is repeated ``salts`` times, so that the rows of one key in ``big`` go to up to ``salts`` tasks.
-    ``salt`` must be spread within a key. NULL keys match nothing.
+    ``weight`` is the column of ``small`` with the number of rows of the key in ``big``, ``total`` their sum. The rows
+    of heavy keys are joined where they are, with the heavy rows of ``small`` (at most 1 / share) broadcast; all
+    others are shuffled by key once, without copies. ``small`` is read three times, so it should be a written table.
+    NULL keys match nothing.
     """
-    b = big.withColumn("__salt", F.pmod(F.coalesce(salt.cast("bigint"), F.lit(0)), F.lit(salts)).cast("int"))
-    s = small.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return b.join(s, [*on, "__salt"], how).drop("__salt")
+    least = max(2, math.ceil(total * share))
+    heavy = small.filter(F.col(weight) >= least)
+    if not heavy.take(1):
+        return big.join(small, on)
+    hot = big.join(F.broadcast(heavy), on)
+    cool = big.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(small.filter(F.col(weight) < least), on)
+    return hot.unionByName(cool)

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
-from lodestrata.operators.spikes import SPIKE, SpikeRules, flag_implausible, forward_backward
+from lodestrata.operators.spikes import SpikeRules, flag_implausible, forward_backward
 
 SCHEMA = "bar_id bigint, instrument string, feed string, datetime timestamp, close double, volume double, ingested_at timestamp"
 
@@ -26,9 +26,9 @@ def bars(days: int = 3, seed: int = 1, price: float = 50.0, sigma: float = 0.001
     return df.assign(instrument="A", feed=f"f{seed}", ingested_at=df.datetime + pd.Timedelta(minutes=1))
 
 
-def found(spark, df: pd.DataFrame) -> set[tuple[int, str]]:
+def found(spark, df: pd.DataFrame, rules: SpikeRules = SpikeRules()) -> set[tuple[int, str]]:
     rows = spark.createDataFrame([tuple(None if x is pd.NaT or (isinstance(x, float) and np.isnan(x)) else x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in r) for r in df[["bar_id", "instrument", "feed", "datetime", "close", "volume", "ingested_at"]].astype(object).itertuples(index=False)], SCHEMA)
-    return {(r.bar_id, r.field) for r in flag_implausible(rows).collect()}
+    return {(r.bar_id, r.field) for r in flag_implausible(rows, rules).collect()}
 
 
 def test_planted_readings_are_found_and_nothing_else(spark):
@@ -152,7 +152,25 @@ def test_forward_backward_matches_enumeration():
     np.testing.assert_allclose(forward_backward(ll, stay, start)[0], want / want.sum(1, keepdims=True), rtol=1e-9)
 
 
-def test_rules_are_parameters(spark):
-    assert SpikeRules(stuck_bars=5).stuck_bars == 5 and SPIKE == 1
-    with pytest.raises(Exception):
-        SpikeRules().stuck_bars = 3
+def test_each_rule_is_a_parameter(spark):
+    df = bars(seed=1)
+    df.loc[30, "close"] *= 1.015
+    df.loc[300, "volume"] = df.volume.max() * 2.5
+    df.loc[500:507, "volume"] = 777.0
+    case = lambda *rows: {(int(df.bar_id[i]), f) for i, f in rows}
+    assert found(spark, df) == case((30, "close"), (300, "volume"))
+    assert found(spark, df, SpikeRules(spike_moves=30.0)) == case((300, "volume"))
+    assert found(spark, df, SpikeRules(amount_factor=3.0)) == case((30, "close"))
+    assert found(spark, df, SpikeRules(stuck_bars=8)) == case((30, "close"), (300, "volume"), *((i, "volume") for i in range(500, 508)))
+    df.loc[100:102, "close"] *= 1.05
+    assert found(spark, df, SpikeRules(spike_bars=2)) == case((30, "close"), (300, "volume"))
+
+
+def test_ordinary_amounts_of_thin_sources_may_leave_gaps(spark):
+    df, rng = bars(days=2, seed=8), np.random.default_rng(9)
+    volume = np.exp(8 + 0.8 * np.clip(rng.normal(size=480), -3, 2.4))
+    top = volume.max()
+    volume[70] = top * 2.2  # 3.4 deviations from the level: large, but the source may well do that
+    volume[200] = top * 9
+    df["volume"] = volume
+    assert found(spark, df) == {(int(df.bar_id[200]), "volume")}

@@ -1,6 +1,7 @@
 """Shared tables and joins with hot keys."""
 
-from lodestrata.storage import materialize, release, salted_join
+import pytest
+from lodestrata.storage import materialize, release, shared_dir, skew_join
 from pyspark.sql import functions as F
 
 
@@ -15,10 +16,23 @@ def test_written_tables_are_read_back_and_go(spark):
     assert not os.path.exists(path)
 
 
-def test_salted_join_equals_a_join(spark):
+def test_skew_join_equals_a_join(spark):
     big = spark.range(3000).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50)).alias("k"), "id").unionByName(spark.createDataFrame([(None, 1)], "k bigint, id bigint"))
-    small = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    got, want = salted_join(big, small, ["k"], F.col("id")), big.join(small, "k")
-    assert got.count() == want.count() and got.exceptAll(want.select(*got.columns)).count() == 0
-    hot = salted_join(big, small, ["k"], F.col("id")).filter("k = 0").select(F.spark_partition_id().alias("p")).distinct()
-    assert hot.count() >= 1
+    small = big.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("v")).filter("k < 40")
+    want = big.join(small, "k")
+    for share in (1 / 2000, 0.1, 2.0):
+        got = skew_join(big, small, ["k"], "n", 3001, share)
+        assert got.count() == want.count() and got.select(*want.columns).exceptAll(want).count() == 0
+
+
+def test_no_local_folder_on_a_cluster():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Cluster)
