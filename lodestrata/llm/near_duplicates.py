@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.storage import materialize, salted_join
+from lodestrata.storage import materialize, skew_join
 
 
 @dataclass(frozen=True)
@@ -317,8 +317,9 @@ def classes_and_links(rows: DataFrame, split: Callable[[str], list[str]], rules:
     spark = rows.sparkSession
     rows = rows.filter("text is not null and id is not null").select(F.col("id").cast("bigint"), F.col("text").cast("string"))
     bags = materialize(rows.mapInArrow(_bags(split), "id bigint, h1 bigint, h2 bigint, bag binary"), "bags")
-    groups = bags.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    members = materialize(salted_join(bags.select("id", "h1", "h2"), groups, ["h1", "h2"], F.xxhash64("id")).select("id", "rep"), "members")
+    total = bags.count()
+    groups = materialize(bags.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "groups")
+    members = materialize(skew_join(bags.select("id", "h1", "h2"), groups, ["h1", "h2"], "copies", total).select("id", "rep", "copies"), "members")
     table = np.zeros(DF_BUCKETS, np.int64)
     for r in bags.select("bag").mapInArrow(_frequencies, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # DF_BUCKETS rows at most
         table[r.bucket] = r.n

@@ -51,12 +51,12 @@ def _writings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    found = assign_keepers(_writings(spark, sf), formula_text.loose_key, formula_text.canonical, repeats_only=True)
+    found = assign_keepers(_writings(spark, sf), formula_text.canonical, repeats_only=True)
     return found.filter("id > keep_id").select("keep_id", F.col("id").alias("copy_id"))
 
 
 def p5_copies(spark: SparkSession, sf: str) -> DataFrame:
-    found = assign_keepers(_writings(spark, sf), formula_text.loose_key, formula_text.canonical)
+    found = assign_keepers(_writings(spark, sf), formula_text.canonical)
     return found.filter("id = keep_id").select(F.when(F.col("part") == 0, "final_pool").otherwise("aa_trajectory").alias("tab"), "keep_id", "n_copies")
 
 
