@@ -5,14 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators.metrics import YEAR, finite
 
-#: One market place's daily order keeps the whole account in one fold; accounts and factors run side by side.
-
 
 def execution_returns(panel: DataFrame, mode: str = "next_open_oo", days: int = 1) -> DataFrame:
     """Return of a signal of day t under an execution rule; lead over the dense calendar."""
@@ -70,16 +67,31 @@ def daily_returns(weights: DataFrame, returns: DataFrame, cost_rate: float = 0.0
 
 
 def long_short_pnl(scores: DataFrame, returns: DataFrame, share: float = 0.2, cost_rate: float = 0.0015) -> DataFrame:
-    """Quantile long/short with turnover as the share of names replaced on either side."""
-    weights = long_short_weights(scores, share)
-    return daily_returns(weights, returns, cost_rate)
+    """(datetime, gross, turnover, cost, net) of a quantile long/short test: mean return above the upper cut less that below the lower.
+
+    ``turnover`` is the mean over both sides of the share of a side's names that were not in it on the date before (1
+    where there was none). Days on which either side is empty are left out.
+    """
+    day = Window.partitionBy("datetime")
+    rows = scores.select("datetime", "instrument", finite("score").alias("score")).dropna(subset=["score"]).join(returns.select("datetime", "instrument", finite("ret").alias("ret")), ["datetime", "instrument"]).dropna(subset=["ret"])
+    cut = rows.select("*", F.percentile("score", 1 - share).over(day).alias("hi"), F.percentile("score", share).over(day).alias("lo"))
+    sides = cut.select("datetime", "instrument", "ret", F.explode(F.filter(F.array(F.when(F.col("score") >= F.col("hi"), 1), F.when(F.col("score") <= F.col("lo"), -1)), lambda x: x.isNotNull())).alias("side"))
+    days = sides.groupBy("datetime").agg(F.count_distinct("side").alias("n")).filter("n = 2").select("datetime", F.row_number().over(Window.orderBy("datetime")).alias("d"))
+    sides = sides.join(days, "datetime")
+    before = sides.select((F.col("d") + 1).alias("d"), "instrument", "side", F.lit(1).alias("stayed"))
+    each = sides.join(before, ["d", "instrument", "side"], "left").groupBy("datetime", "side").agg(F.avg("ret").alias("mean"), F.avg(F.when(F.col("stayed").isNull(), 1.0).otherwise(0.0)).alias("fresh"))
+    out = each.groupBy("datetime").agg(F.sum(F.col("mean") * F.col("side")).alias("gross"), F.avg("fresh").alias("turnover"))
+    cost = F.col("turnover") * cost_rate
+    return out.withColumn("cost", cost).withColumn("net", F.col("gross") - cost)
 
 
 def wealth(daily: DataFrame, value: str = "net") -> DataFrame:
     """Cumulative return, compounded and summed, and the drawdown of each."""
     w = Window.orderBy("datetime").rowsBetween(Window.unboundedPreceding, 0)  # one row a day
     x = F.coalesce(value, F.lit(0.0))
-    out = daily.withColumn("compounded", F.exp(F.sum(F.log1p(x)).over(w))).withColumn("summed", F.sum(x).over(w))
+    # from a return of -1 or less on nothing is left
+    grown = F.exp(F.sum(F.when(x > -1, F.log1p(x))).over(w))
+    out = daily.withColumn("compounded", F.when(F.min(x).over(w) <= -1, 0.0).otherwise(grown)).withColumn("summed", F.sum(x).over(w))
     return out.withColumn("drawdown", F.col("compounded") / F.max("compounded").over(w) - 1).withColumn("drawdown_summed", F.col("summed") - F.max("summed").over(w))
 
 
@@ -87,7 +99,7 @@ def performance(daily: DataFrame) -> DataFrame:
     """One row: yearly return, growth, Sharpe ratio, deepest drawdown, turnover and cost."""
     d = wealth(daily)
     sd = F.stddev_samp("net")
-    growth = F.exp(F.sum(F.log1p("net")))
+    growth = F.when(F.min("net") <= -1, 0.0).otherwise(F.exp(F.sum(F.when(F.col("net") > -1, F.log1p("net")))))
     return d.agg(
         (F.avg("net") * YEAR).alias("annual"),
         (F.pow(growth, F.lit(float(YEAR)) / F.count("net")) - 1).alias("cagr"),
@@ -156,98 +168,6 @@ def combine_signals(frame: DataFrame, weights: dict[str, float]) -> DataFrame:
     return frame.withColumn("score", F.when(sum(s.cast("int") for s in seen) > 0, sum(parts)))
 
 
-# Orders.
-
-RULES = {"open_cost": 0.0005, "close_cost": 0.0015, "min_cost": 5.0, "impact": 0.0, "unit": 100.0}
-
-
-def round_lot(amount: float, factor: float | None, unit: float) -> float:
-    """Whole lots of unadjusted shares; any amount where there is no factor."""
-    if factor is None or not np.isfinite(factor) or unit <= 0:
-        return amount
-    return (amount * factor + 0.1) // unit * unit / factor
-
-
-def trade_cost(value: float, total: float | None, ratio: float, least: float, impact: float) -> float:
-    """Fee of a deal: the ratio grows with the square of its share in the day's turnover; never under ``least``."""
-    if value <= 1e-5:
-        return 0.0
-    extra = impact * (value / total) ** 2 if total and np.isfinite(total) else impact
-    return max(value * (ratio + extra), least)
-
-
-def affordable(cash: float, price: float, ratio: float, least: float) -> float:
-    """Shares that cash buys, fees included."""
-    if ratio > 0 and cash >= least / ratio + least:
-        return cash / (1 + ratio) / price
-    return max(0.0, (cash - least) / price) if ratio > 0 or least > 0 else cash / price
-
-
-def _simulate(topk: int, drop: int, risk_degree: float, start_cash: float, rules: dict[str, float]):
-    """One account's days in order: sell the worst of what is held, buy the best of the rest."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        cash, held, out = start_cash, {}, []
-        last: dict[str, float] = {}
-        value_before, total_cost = start_cash, 0.0
-        for day, today in rows.sort_values(["datetime", "instrument"]).groupby("datetime", sort=True):
-            price = {i: p for i, p in zip(today.instrument, today.price) if np.isfinite(p) and p > 0}
-            factor, amount = dict(zip(today.instrument, today.factor)), dict(zip(today.instrument, today.amount))
-            score = {i: s for i, s in zip(today.instrument, today.score) if np.isfinite(s)}
-            last |= price
-            order = lambda names: sorted(names, key=lambda i: (-score.get(i, -np.inf), i))
-            keep = order(held)
-            fresh = [i for i in order(score) if i not in held][: drop + topk - len(keep)]
-            union = order([*keep, *fresh])
-            worst = set(union[-drop:]) if drop else set()
-            sell = [i for i in keep if i in worst and i in price]
-            buy = fresh[: len(sell) + topk - len(keep)]
-            traded = day_cost = 0.0
-            for i in sell:
-                worth = held[i] * price[i]
-                fee = trade_cost(worth, amount.get(i), rules["close_cost"], rules["min_cost"], rules["impact"])
-                cash += worth - fee
-                traded, day_cost = traded + worth, day_cost + fee
-                del held[i]
-            each = cash * risk_degree / len(buy) if buy else 0.0
-            for i in buy:
-                if i not in price:
-                    continue
-                n = round_lot(min(each / price[i], affordable(cash, price[i], rules["open_cost"], rules["min_cost"])), factor.get(i), rules["unit"])
-                if n <= 0:
-                    continue
-                worth = n * price[i]
-                fee = trade_cost(worth, amount.get(i), rules["open_cost"], rules["min_cost"], rules["impact"])
-                if worth + fee > cash + 1e-9:
-                    continue
-                cash -= worth + fee
-                traded, day_cost = traded + worth, day_cost + fee
-                held[i] = held.get(i, 0.0) + n
-            value = cash + sum(n * last[i] for i, n in held.items())
-            total_cost += day_cost
-            out.append((rows.account.iloc[0], day, cash, value, (value - value_before + day_cost) / value_before, day_cost / value_before, traded / value_before, len(held)))
-            value_before = value
-        return pd.DataFrame(out, columns=["account", "datetime", "cash", "value", "ret", "cost", "turnover", "n_held"])
-
-    return run
-
-
-def simulate_topk(frame: DataFrame, topk: int = 10, drop: int = 2, risk_degree: float = 0.95, start_cash: float = 1e6, rules: dict[str, float] = RULES) -> DataFrame:
-    """Accounts that hold the best ``topk`` names and change at most ``drop`` of them a day.
-
-    frame(account, datetime, instrument, score, price, factor, amount). Cash, lots and fees make a day depend on
-    the one before, so an account is folded in one task; accounts run in parallel.
-    """
-    return frame.select("account", "datetime", "instrument", *[F.col(c).cast("double") for c in ("score", "price", "factor", "amount")]).groupBy("account").applyInPandas(_simulate(topk, drop, risk_degree, start_cash, rules), "account string, datetime timestamp, cash double, value double, ret double, cost double, turnover double, n_held int")
-
-
-def tradable(panel: DataFrame, limit: float | None = 0.095) -> DataFrame:
-    """``limit_buy`` and ``limit_sell``: no trade without a price, no buying at the upper and no selling at the lower limit."""
-    gone = F.col("close").isNull()
-    up, down = (F.coalesce(F.col("change") >= limit, F.lit(False)), F.coalesce(F.col("change") <= -limit, F.lit(False))) if limit is not None else (F.lit(False), F.lit(False))
-    return panel.withColumn("limit_buy", gone | up).withColumn("limit_sell", gone | down)
-
-
 def twap_schedule(orders: DataFrame, steps: int, unit: float = 100.0) -> DataFrame:
     """Equal parts in whole lots over the steps, what is left in the last; orders(order_id, amount)."""
     each = orders.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))

@@ -12,6 +12,7 @@ from lodestrata.dsl.tree import fields, parse
 from lodestrata.functions import catalogs
 from lodestrata.functions.registry import Context
 from lodestrata.operators import metrics as M
+from lodestrata.operators import exchange as X
 from lodestrata.operators import portfolio as B
 from lodestrata.plans.compiler import evaluate
 from lodestrata.sources import panel as S
@@ -484,14 +485,14 @@ def holdings_changes(spark: SparkSession, sf: str) -> DataFrame:
     return B.holdings_changes(B.long_short_weights(frame(spark, sf)))
 
 
-@query("brinson", f"{_WEIGHTS_SQL}, bench AS (SELECT datetime, instrument, 1.0 / count(*) OVER (PARTITION BY datetime) AS weight FROM frame WHERE label IS NOT NULL), ind AS (SELECT instrument, min(industry) AS grp FROM relation GROUP BY 1), b2 AS (SELECT coalesce(p.datetime, b.datetime) AS datetime, coalesce(p.instrument, b.instrument) AS instrument, coalesce(p.weight, 0.0) AS wp, coalesce(b.weight, 0.0) AS wb FROM weights p FULL JOIN bench b ON p.datetime = b.datetime AND p.instrument = b.instrument), g AS (SELECT b2.datetime, coalesce(grp, '') AS grp, sum(wp) AS wp, sum(wb) AS wb, sum(wp * coalesce(label, 0.0)) AS cp, sum(wb * coalesce(label, 0.0)) AS cb FROM b2 LEFT JOIN frame f ON f.datetime = b2.datetime AND f.instrument = b2.instrument LEFT JOIN ind ON ind.instrument = b2.instrument GROUP BY 1, 2), x AS (SELECT *, coalesce(cp / nullif(wp, 0), 0.0) AS rp, coalesce(cb / nullif(wb, 0), 0.0) AS rb FROM g)\nSELECT datetime, round(sum(cp - cb), 6) + 0.0 AS total FROM x GROUP BY datetime")
+@query("brinson", f"{_WEIGHTS_SQL}, bench AS (SELECT datetime, instrument, 1.0 / count(*) OVER (PARTITION BY datetime) AS weight FROM frame WHERE label IS NOT NULL), ind AS (SELECT instrument, min(industry) AS grp FROM relation GROUP BY 1), b2 AS (SELECT coalesce(p.datetime, b.datetime) AS datetime, coalesce(p.instrument, b.instrument) AS instrument, coalesce(p.weight, 0.0) AS wp, coalesce(b.weight, 0.0) AS wb FROM weights p FULL JOIN bench b ON p.datetime = b.datetime AND p.instrument = b.instrument), g AS (SELECT b2.datetime, coalesce(grp, '') AS grp, sum(wp) AS wp, sum(wb) AS wb, sum(wp * coalesce(label, 0.0)) AS cp, sum(wb * coalesce(label, 0.0)) AS cb FROM b2 LEFT JOIN frame f ON f.datetime = b2.datetime AND f.instrument = b2.instrument LEFT JOIN ind ON ind.instrument = b2.instrument GROUP BY 1, 2), x AS (SELECT *, coalesce(cp / nullif(wp, 0), 0.0) AS rp, coalesce(cb / nullif(wb, 0), 0.0) AS rb FROM g)\nSELECT datetime, round(sum((wp - wb) * rb), 6) + 0.0 AS allocation, round(sum(wb * (rp - rb)), 6) + 0.0 AS selection, round(sum((wp - wb) * (rp - rb)), 6) + 0.0 AS interaction, round(sum(cp - cb), 6) + 0.0 AS total FROM x GROUP BY datetime")
 def brinson(spark: SparkSession, sf: str) -> DataFrame:
     f = frame(spark, sf)
     day = B.Window.partitionBy("datetime")
     bench = f.filter("label is not null").select("datetime", "instrument", (1 / F.count(F.lit(1)).over(day)).alias("weight"))
     groups = spark.read.parquet(f"{sf}/relation.parquet").groupBy("instrument").agg(F.min("industry").alias("grp"))
     out = B.brinson(B.long_short_weights(f), bench, groups, f.select("datetime", "instrument", F.col("label").alias("ret")))
-    return _rounded(out.select("datetime", "total"))
+    return _rounded(out)
 
 
 @query("execution_returns", f"{PANEL_SQL}\nSELECT instrument, cal_idx, round(lead(open, 2) OVER w / nullif(lead(open, 1) OVER w, 0) - 1, 6) + 0.0 AS ret FROM panel WINDOW w AS (PARTITION BY instrument ORDER BY cal_idx)")
@@ -501,14 +502,66 @@ def execution_returns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("limit_masks", f"{PANEL_SQL}\nSELECT instrument, cal_idx, close IS NULL OR coalesce(change >= 0.02, false) AS limit_buy, close IS NULL OR coalesce(change <= -0.02, false) AS limit_sell FROM panel")
 def limit_masks(spark: SparkSession, sf: str) -> DataFrame:
-    return B.tradable(panel(spark, sf), 0.02).select("instrument", "cal_idx", "limit_buy", "limit_sell")
+    return X.tradable(panel(spark, sf), 0.02).select("instrument", "cal_idx", "limit_buy", "limit_sell")
 
 
 @query("topk_simulation")
 def topk_simulation(spark: SparkSession, sf: str) -> DataFrame:
-    p = market(spark, sf, {"score": SCORE, "price": "$close", "factor": "$factor", "amount": "$amount"})
+    p = market(spark, sf, {"score": SCORE, "price": "$close", "factor": "$factor", "amount": "$amount", "volume": "$volume", "close": "$close", "change": "$change"})
+    p = X.tradable(p, 0.095)
     accounts = p.withColumn("account", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn("score", F.when(F.col("account") == "b", -F.col("score")).otherwise(F.col("score")))
-    return B.simulate_topk(accounts.withColumn("price", F.col("price")))
+    return X.simulate_topk(accounts, terms=X.Exchange(volume_share=0.1))
+
+
+_QUOTES_SQL = f"{PANEL_SQL}, q AS (SELECT instrument, datetime, cal_idx, close AS price, factor, amount, volume, close IS NULL OR coalesce(abs(change) >= 0.02, false) AS barred, lead(close) OVER w / nullif(close, 0) - 1 AS ret FROM panel WINDOW w AS (PARTITION BY instrument ORDER BY cal_idx))"
+
+
+@query(
+    "deal_orders",
+    f"""{_QUOTES_SQL}, o AS (SELECT instrument, datetime, cal_idx, k, cal_idx * 2 + k AS order_id, k AS direction, abs(volume) * (0.04 + 0.05 * k) AS wanted FROM panel, (VALUES (0), (1)) v(k)),
+j AS (SELECT o.*, price, factor, amount, volume, CASE WHEN price > 0 AND NOT barred THEN greatest(coalesce(wanted, 0.0), 0.0) ELSE 0.0 END AS ok FROM o LEFT JOIN q USING (instrument, datetime, cal_idx)),
+r AS (SELECT *, greatest(0.0, least(ok, coalesce(volume, 0.0) * 0.05 - coalesce(sum(ok) OVER (PARTITION BY instrument, datetime ORDER BY order_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))) AS capped FROM j),
+d AS (SELECT *, CASE WHEN factor > 0 THEN floor((capped * factor + 0.1) / 100) * 100 / factor ELSE capped END AS done FROM r),
+x AS (SELECT *, done * coalesce(price, 0.0) AS worth FROM d)
+SELECT instrument, cal_idx, direction, round(done, 6) + 0.0 AS done, round(worth, 6) + 0.0 AS worth,
+  round(CASE WHEN worth > 1e-5 THEN greatest(worth * (CASE WHEN direction = 1 THEN 0.0005 ELSE 0.0015 END + 0.1 * CASE WHEN amount > 0 THEN pow(worth / amount, 2) ELSE 1.0 END), 5.0) ELSE 0.0 END, 6) + 0.0 AS fee FROM x""",
+)
+def deal_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Two orders a name and day against limits, a shared volume cap, lots and fees with impact."""
+    p = panel(spark, sf)
+    quotes = X.tradable(p, 0.02).withColumn("price", F.col("close"))
+    orders = p.select("instrument", "datetime", "cal_idx", "volume", F.explode(F.array(F.lit(0), F.lit(1))).alias("direction"))
+    orders = orders.select("instrument", "datetime", "cal_idx", "direction", (F.col("cal_idx") * 2 + F.col("direction")).alias("order_id"), (F.abs("volume") * (0.04 + 0.05 * F.col("direction"))).alias("wanted"))
+    done = X.deal(orders, quotes, X.Exchange(impact=0.1, volume_share=0.05))
+    return done.select("instrument", "cal_idx", "direction", *[_r(c) for c in ("done", "worth", "fee")])
+
+
+@query(
+    "long_short_tradable",
+    f"""{_QUOTES_SQL}, s AS (SELECT datetime, instrument, close / nullif(lag(close, 5) OVER w, 0) - 1 AS score FROM panel WINDOW w AS (PARTITION BY instrument ORDER BY cal_idx)),
+r AS (SELECT datetime, instrument, row_number() OVER (PARTITION BY datetime ORDER BY score DESC, instrument) AS hi, row_number() OVER (PARTITION BY datetime ORDER BY score, instrument DESC) AS lo FROM s WHERE score IS NOT NULL),
+j AS (SELECT r.*, price > 0 AS quoted, coalesce(price > 0, false) AND NOT coalesce(barred, false) AS free, coalesce(ret, 0.0) AS gain FROM r LEFT JOIN q USING (datetime, instrument)),
+g AS (SELECT datetime, avg(CASE WHEN hi <= 5 AND free THEN gain END) AS l, avg(CASE WHEN lo <= 5 AND free THEN -gain END) AS s, avg(CASE WHEN quoted THEN gain END) AS a FROM j GROUP BY 1)
+SELECT datetime, round(l - a, 6) + 0.0 AS long, round(s + a, 6) + 0.0 AS short, round(l + s, 6) + 0.0 AS long_short FROM g""",
+)
+def long_short_tradable(spark: SparkSession, sf: str) -> DataFrame:
+    p = market(spark, sf, {"score": SCORE, "close": "$close", "price": "$close", "change": "$change", "ret": "Ref($close, -1) / $close - 1"})
+    return _rounded(X.long_short_tradable(p.select("datetime", "instrument", "score"), X.tradable(p, 0.02), 5))
+
+
+@query(
+    "long_short_pnl",
+    f"""{FRAME_SQL}, c AS (SELECT *, quantile_cont(score, 0.8) OVER d AS hi, quantile_cont(score, 0.2) OVER d AS lo FROM frame WHERE score IS NOT NULL AND label IS NOT NULL WINDOW d AS (PARTITION BY datetime)),
+s AS (SELECT datetime, instrument, label, 1 AS side FROM c WHERE score >= hi UNION ALL SELECT datetime, instrument, label, -1 FROM c WHERE score <= lo),
+d AS (SELECT datetime, row_number() OVER (ORDER BY datetime) AS d FROM (SELECT datetime FROM s GROUP BY 1 HAVING count(DISTINCT side) = 2)),
+x AS (SELECT s.*, d.d FROM s JOIN d USING (datetime)),
+e AS (SELECT a.datetime, a.side, avg(a.label) AS m, avg(CASE WHEN b.side IS NULL THEN 1.0 ELSE 0.0 END) AS fresh FROM x a LEFT JOIN x b ON b.d = a.d - 1 AND b.instrument = a.instrument AND b.side = a.side GROUP BY 1, 2)
+SELECT datetime, round(sum(m * side), 6) + 0.0 AS gross, round(avg(fresh), 6) AS turnover, round(sum(m * side) - 0.0015 * avg(fresh), 6) + 0.0 AS net FROM e GROUP BY 1""",
+)
+def long_short_pnl(spark: SparkSession, sf: str) -> DataFrame:
+    f = frame(spark, sf)
+    out = B.long_short_pnl(f, f.select("datetime", "instrument", F.col("label").alias("ret")))
+    return _rounded(out.select("datetime", "gross", "turnover", "net"))
 
 
 @query("pool_signal", f"{PANEL_SQL}, f AS (SELECT datetime, instrument, cal_idx, close / nullif(lag(close, 5) OVER w, 0) - 1 AS a, change AS b FROM panel WINDOW w AS (PARTITION BY instrument ORDER BY cal_idx))\nSELECT instrument, cal_idx, round(CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN coalesce(0.7 * (a - avg(a) OVER d) / CASE WHEN stddev_pop(a) OVER d < 1e-8 THEN 1.0 ELSE stddev_pop(a) OVER d END, 0.0) + coalesce(-0.3 * (b - avg(b) OVER d) / CASE WHEN stddev_pop(b) OVER d < 1e-8 THEN 1.0 ELSE stddev_pop(b) OVER d END, 0.0) END, 6) + 0.0 AS score FROM f WINDOW d AS (PARTITION BY datetime)")

@@ -5,6 +5,7 @@ from datetime import datetime
 import numpy as np
 import pandas as pd
 import pytest
+from lodestrata.operators import exchange as X
 from lodestrata.operators import metrics as M
 from lodestrata.operators import portfolio as B
 from lodestrata.operators import processors as P
@@ -77,10 +78,53 @@ def test_optimisers():
 
 
 def test_order_rules():
-    assert B.round_lot(250, 1.0, 100) == 200 and B.round_lot(250, None, 100) == 250
-    assert B.trade_cost(1000, None, 0.001, 5, 0) == 5 and B.trade_cost(0, None, 0.001, 5, 0) == 0
-    n = B.affordable(1000, 10, 0.001, 5)
-    assert n * 10 + B.trade_cost(n * 10, None, 0.001, 5, 0) == pytest.approx(1000)
+    assert X.lots(np.array([250.0]), np.array([1.0]), 100)[0] == 200 and X.lots(np.array([250.0]), np.array([np.nan]), 100)[0] == 250
+    terms = X.Exchange()
+    assert X.fees(np.array([1000.0]), np.nan, 0.001, terms)[0] == 5 and X.fees(np.array([0.0]), np.nan, 0.001, terms)[0] == 0
+    for cash in (1000.0, 1e6):
+        n = X.affordable(np.array([cash]), 10, 0.001, 5)
+        assert n * 10 + X.fees(n * 10, np.nan, 0.001, terms) == pytest.approx(cash)
+
+
+def test_rotation_by_hand():
+    score, held = np.array([5.0, 4, 3, 2, 1, np.nan]), np.array([False, True, False, True, True, False])
+    out, into = X.rotation(score, held, 3, 1)
+    assert out.tolist() == [False, False, False, False, True, False] and into.tolist() == [True, False, False, False, False, False]
+    # better names are not let go for worse ones
+    out, into = X.rotation(np.array([5.0, 4, 3, 2]), np.array([True, True, False, False]), 2, 1)
+    assert not out.any() and not into.any()
+    # a held name without a score ranks last; free places are filled
+    out, into = X.rotation(np.array([np.nan, 1.0, 2.0, 0.5]), np.array([True, False, False, False]), 2, 1)
+    assert out[0] and into.tolist() == [False, True, True, False]
+
+
+def test_total_loss_ends_the_wealth(spark):
+    rows = spark.createDataFrame([(datetime(2024, 1, i + 1), x, 0.0, 0.0, 0.0) for i, x in enumerate([0.1, -1.0, 0.5])], "datetime timestamp, net double, turnover_l1 double, turnover_oneway double, cost double")
+    assert [r.compounded for r in B.wealth(rows).orderBy("datetime").collect()] == [pytest.approx(1.1), 0.0, 0.0]
+    p = B.performance(rows).first()
+    assert p.net_return == -1.0 and p.cagr == -1.0 and p.mdd == 1.0
+
+
+def test_suspended_limited_and_young_names_stay(spark):
+    def days(limit, hold):
+        rows = []
+        for t in range(3):
+            for i, (name, score) in enumerate([("a", [3, 1, 1][t]), ("b", [2, 2, 2][t]), ("c", [1, 3, 3][t])]):
+                rows.append(("x", datetime(2024, 1, t + 1), name, float(score), 10.0, 1.0, 1e9, 1e9, limit and t == 1 and name == "a"))
+        df = spark.createDataFrame(rows, "account string, datetime timestamp, instrument string, score double, price double, factor double, amount double, volume double, limit_sell boolean")
+        return X.simulate_topk(df, 1, 1, hold=hold).orderBy("datetime").toPandas()
+
+    free, barred, young = days(False, 1), days(True, 1), days(False, 2)
+    assert free.turnover[1] > 1 and free.refused.tolist() == [0, 0, 0]
+    assert barred.refused[1] == 1 and barred.n_held[1] >= 1 and young.refused[1] == 1 and young.refused[2] == 0
+
+
+def test_volume_caps_a_day(spark):
+    rows = [("x", datetime(2024, 1, 1), "a", 1.0, 10.0, 1.0, 1e9, 3000.0)]
+    df = spark.createDataFrame(rows, "account string, datetime timestamp, instrument string, score double, price double, factor double, amount double, volume double")
+    out = X.simulate_topk(df, 1, 1, terms=X.Exchange(volume_share=0.1)).first()
+    assert out.turnover == pytest.approx(300 * 10 / 1e6)
+    assert X.simulate_topk(df.filter("false"), 1, 1).count() == 0
 
 
 def test_schedules_sum_to_the_order(spark):
@@ -100,7 +144,7 @@ def test_rolling_regression_recovers_a_line(spark):
 def test_simulated_account_never_overspends(spark):
     rng = np.random.default_rng(3)
     rows = [("x", datetime(2024, 1, t + 1), f"i{k}", float(rng.normal()), float(10 + rng.random()), 1.0, 1e6) for t in range(8) for k in range(12)]
-    out = B.simulate_topk(spark.createDataFrame(rows, "account string, datetime timestamp, instrument string, score double, price double, factor double, amount double"), 5, 2).orderBy("datetime").toPandas()
+    out = X.simulate_topk(spark.createDataFrame(rows, "account string, datetime timestamp, instrument string, score double, price double, factor double, amount double"), 5, 2).orderBy("datetime").toPandas()
     assert (out.cash >= 0).all() and (out.n_held <= 5).all() and len(out) == 8
     assert isinstance(out, pd.DataFrame)
 
