@@ -154,7 +154,7 @@ def _delta(c: Context, x: Column, n: float) -> Column:
 @windowed("Mean")
 def _mean(c: Context, x: Column, n: float) -> Column:
     if 0 < n < 1:
-        return _decayed(c, x, n)
+        return _ema(c, x, n)
     return _full(c, n, x, c.rows(n), F.avg(x).over(c.rows(n)))
 
 
@@ -270,15 +270,6 @@ def _wma(c: Context, x: Column, n: float) -> Column:
     return F.when(values > 0, weighted / (k * (k + 1) / 2) / F.when(values > 0, values))
 
 
-def _decayed(c: Context, x: Column, alpha: float) -> Column:
-    """Exponentially weighted mean of the whole past, gaps decaying too; weights under 1e-17 are past a double's digits."""
-    reach = max(2, math.ceil(math.log(1e-17) / math.log(1 - alpha)))
-    held = F.collect_list(F.struct(x.alias("v"))).over(c.series().rowsBetween(-reach, 0))
-    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
-    step = lambda s, e: F.struct((s["n"] * (1 - alpha) + F.coalesce(e["v"], F.lit(0.0))).alias("n"), (s["d"] * (1 - alpha) + F.when(e["v"].isNotNull(), 1.0).otherwise(0.0)).alias("d"))
-    return F.aggregate(held, start, step, lambda s: s["n"] / F.when(s["d"] > 0, s["d"]))
-
-
 @windowed("EMA")
 def _ema(c: Context, x: Column, n: float) -> Column:
     """Span n, or alpha if n < 1; strict: weights over n rows only."""
@@ -288,9 +279,7 @@ def _ema(c: Context, x: Column, n: float) -> Column:
         held = F.collect_list(x).over(w)
         total = F.aggregate(F.zip_with(held, F.array(*map(F.lit, weights)), lambda v, k: v * k), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
         return F.when(F.count(x).over(w) == int(n), total / sum(weights))
-    if n == 0:
-        raise ValueError("EMA needs a span or a weight")
-    return _decayed(c, x, n if n < 1 else 2 / (n + 1))
+    raise ValueError("EMA needs a span or a weight and is a scan of its series")
 
 
 @windowed("Cov")
@@ -345,6 +334,18 @@ def _rolling(c: Context, x: Column, n: float, name: str) -> Column:
     return WINDOWED[{"mean": "Mean", "sum": "Sum", "std": "Std", "var": "Var", "skew": "Skew", "kurt": "Kurt", "max": "Max", "min": "Min", "median": "Med", "count": "Count"}[name]](c, x, n)
 
 
+def hashed_uniform(*parts: Column | str) -> Column:
+    """A number in (0, 1) that the parts alone fix, whatever the partitions: 52 bits of their MD5 sum."""
+    text = F.concat_ws("|", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def hashed_normal(*parts: Column | str) -> Column:
+    """A standard normal number that the parts alone fix."""
+    u, v = hashed_uniform(*parts, F.lit("u")), hashed_uniform(*parts, F.lit("v"))
+    return F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
+
+
 def percent_rank(x: Column, *by: str) -> Column:
     """Average rank among the values that are there, as a share of them."""
     w = Window.partitionBy(*by, x.isNull())
@@ -363,7 +364,7 @@ WINDOWED |= {
     "ChangeInstrument": lambda c, name, x: F.max(F.when(F.col(c.entity) == name, x)).over(c.day()),
     "Mask": lambda c, x, name: F.max(F.when(F.col(c.entity) == name, x)).over(c.day()),
     "RelationDemean": lambda c, x: F.when(F.col(c.group).isNotNull(), x - F.avg(x).over(Window.partitionBy(c.time, c.group))).otherwise(F.when(x.isNotNull(), 0.0)),
-    "RelationRank": lambda c, x: F.when(F.col(c.group).isNotNull(), percent_rank(x, c.time, c.group)).otherwise(F.rand(c.seed)),
+    "RelationRank": lambda c, x: F.when(F.col(c.group).isNotNull(), percent_rank(x, c.time, c.group)).otherwise(hashed_uniform(c.entity, c.order, F.lit(c.seed))),
 }
 
 

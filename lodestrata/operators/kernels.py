@@ -18,6 +18,8 @@ from lodestrata.dsl.tree import Node, window_of
 
 #: Cells of a window matrix at once.
 CELLS = 2_000_000
+#: Windows whose frames the SQL engine would have to collect row by row: always evaluated here.
+SCANNED = frozenset(["EMA", "WMA", "Rank", "Mad", "IdxMax", "IdxMin"])
 #: Rows that a task gathers before it evaluates; a series is never cut.
 ROWS = 100_000
 STILL = 2e-5
@@ -201,21 +203,23 @@ def _count(v, length):
 
 
 def _ema(frame: Frame, x: np.ndarray, n: float) -> np.ndarray:
-    """A step per place of the longest series, over all series at once."""
+    """Exponentially weighted mean of the whole past, gaps decaying too: a step per place of the longest series."""
     alpha = n if n < 1 else 2 / (n + 1)
     x, out = frame.full(x), np.full(frame.n, np.nan)
     begins = np.flatnonzero(frame.pos == 0)
     sizes = np.diff(np.r_[begins, frame.n])
     order = np.argsort(-sizes)
     begins, sizes = begins[order], sizes[order]
-    num, den = np.zeros(len(begins)), np.zeros(len(begins))
+    mean, weight = np.full(len(begins), np.nan), np.zeros(len(begins))
     for t in range(int(sizes[0]) if len(sizes) else 0):
         live = int(np.searchsorted(-sizes, -t, "left"))
         v = x[begins[:live] + t]
         ok = ~np.isnan(v)
-        num = num[:live] * (1 - alpha) + np.where(ok, v, 0)
-        den = den[:live] * (1 - alpha) + ok
-        out[begins[:live] + t] = np.where(den > 0, num / den, np.nan)
+        mean, weight = mean[:live], weight[:live] * (1 - alpha)
+        # a weight may fade to nothing in a long gap; the mean is carried on all the same
+        moved = (np.where(weight > 0, mean, 0) * weight + np.where(ok, v, 0)) / (weight + 1)
+        mean, weight = np.where(ok, moved, mean), weight + ok
+        out[begins[:live] + t] = mean
     return out
 
 
@@ -247,8 +251,6 @@ WINDOWS: dict[str, Callable] = {
 }
 
 
-
-
 ELEMENTWISE: dict[str, Callable] = {
     "Add": np.add, "Sub": np.subtract, "Mul": np.multiply, "Abs": np.abs, "Sign": np.sign,
     "Div": lambda a, b: np.where(np.asarray(b) != 0, np.divide(a, np.where(np.asarray(b) != 0, b, np.nan)), np.nan),
@@ -261,17 +263,19 @@ ELEMENTWISE: dict[str, Callable] = {
 }
 
 
+def fixed(x: Node) -> bool:
+    """Whether a window has a fixed number of rows, or any weight if it is an EMA."""
+    n = window_of(x)
+    if x.name not in WINDOWS or n is None:
+        return False
+    return n > 0 if x.name == "EMA" else x.name in ("Ref", "Delta") or n >= 1 and n == int(n)
+
+
 def supported(tree: Node) -> bool:
     """Series operators only, with windows of a fixed number of rows."""
     for x in tree.walk():
         if x.kind == "call":
-            if x.name not in WINDOWS and x.name not in ELEMENTWISE or x.name in WINDOWS and window_of(x) is None:
-                return False
-            if x.name in WINDOWS and x.name not in ("Ref", "Delta", "EMA"):
-                n = x.args[2 if x.name in ("Corr", "Cov") else 1]
-                if n.kind != "number" or n.value < 1 or n.value != int(n.value):
-                    return False
-            if x.name == "EMA" and (x.args[1].kind != "number" or x.args[1].value <= 0):
+            if x.name not in ELEMENTWISE and not fixed(x):
                 return False
         elif x.kind not in ("field", "number"):
             return False

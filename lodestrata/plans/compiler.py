@@ -7,6 +7,7 @@ select, and windows over series need a single exchange by instrument, those over
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,14 +72,56 @@ class _Plan:
         except TypeError as e:
             raise FormulaError(f"wrong arguments of {n.name}: {e}") from e
 
+    def open(self, n: Node) -> Iterator[Node]:
+        """The nodes that are still to be computed."""
+        if n not in self.done:
+            yield n
+            for a in n.args:
+                yield from self.open(a)
+
+    def take_series(self, trees: dict[str, Node]) -> None:
+        """Compute all largest subtrees over series in one pass of kernels, before any other window."""
+
+        def parts(n: Node) -> Iterator[Node]:
+            if n.kind == "call" and kernels.supported(n):
+                if any(x.name in kernels.WINDOWS for x in n.walk()):
+                    yield n
+            else:
+                for a in n.args:
+                    yield from parts(a)
+
+        named = {n: f"__s{i}" for i, n in enumerate(dict.fromkeys(p for t in trees.values() for p in parts(t)))}
+        if named:
+            inputs = sorted(set().union(*map(fields, named)))
+            rows = self.df.select("*", *[F.col(c).cast("double").alias(f"__{c}") for c in inputs])
+            self.df = _in_series(rows, {a: _renamed(n) for n, a in named.items()}, list(self.df.columns), self.context, [f"__{c}" for c in inputs])
+            self.done |= named
+            self.level |= dict.fromkeys(named, 0)
+
     def layer(self, depth: int, nodes: list[Node]) -> None:
         """Compute the windows of one depth that formulas of the batch use."""
         fresh = [n for n in dict.fromkeys(nodes) if n not in self.done]
         if fresh:
             named = {n: f"__w{depth}_{i}" for i, n in enumerate(fresh)}
-            self.df = self.df.select("*", *[self.column(n).alias(a) for n, a in named.items()])
+            scanned = {n: a for n, a in named.items() if self.scanned(n)}
+            inner = {n.args[0]: f"__a{depth}_{i}" for i, n in enumerate(scanned)}
+            framed = {n: a for n, a in named.items() if n not in scanned}
+            self.df = self.df.select("*", *[self.column(n).alias(a) for n, a in framed.items()], *[self.number(n).alias(a) for n, a in inner.items()])
+            if scanned:
+                self.df = self.scan({a: Node("call", "EMA" if n.name == "Mean" else n.name, None, (Node("field", inner[n.args[0]]), n.args[1])) for n, a in scanned.items()}, sorted(set(inner.values())))
             self.done |= named
 
+    def scanned(self, n: Node) -> bool:
+        """Windows that scan a series once as arrays instead of collecting every frame."""
+        if self.context.strict or len(n.args) != 2 or n.args[1].kind != "number":
+            return False
+        return n.name in kernels.SCANNED and kernels.fixed(n) or n.name == "Mean" and 0 < n.args[1].value < 1
+
+    def scan(self, trees: dict[str, Node], inputs: list[str]) -> DataFrame:
+        """The rows with columns of kernels, in the exchange by series that their other windows need as well."""
+        keys = [c for c in self.df.columns if c not in inputs]
+        return _in_series(self.df, trees, keys, self.context, inputs)
+
 
 def evaluate(panel: DataFrame, formulas: dict[str, str], context: Context = Context(), keep: tuple[str, ...] = (), start: int | None = None, end: int | None = None, engine: str = "auto") -> DataFrame:
     """Columns ``formulas`` (name to text) over a dense ``panel``, beside entity, order, time and ``keep``.
@@ -87,7 +130,8 @@ def evaluate(panel: DataFrame, formulas: dict[str, str], context: Context = Cont
     the formulas tell, are read as well and cut off at the end.
 
     engine: "sql" uses Spark's windows, "array" the kernels of ``operators.kernels``; "auto" takes the kernels for
-    batches whose windows hold more than ARRAY_CELLS cells a row, if they can express all formulas.
+    batches whose windows hold more than ARRAY_CELLS cells a row or scan their series, if they can express all
+    formulas. Both give the same values.
     """
     trees = {name: fold_numbers(parse(text)) for name, text in formulas.items()}
     keys = [c for c in dict.fromkeys((context.entity, context.order, context.time, *keep)) if c in panel.columns]
@@ -103,25 +147,31 @@ def evaluate(panel: DataFrame, formulas: dict[str, str], context: Context = Cont
         if end is not None and math.isfinite(right):
             df = df.filter(F.col(context.order) <= end + int(right))
     able = context == Context() and not grouped and all(map(kernels.supported, trees.values()))
-    if engine == "array" or engine == "auto" and able and kernels.cost(trees) > ARRAY_CELLS:
+    scans = any(n.kind == "call" and n.name in kernels.SCANNED for t in trees.values() for n in t.walk())
+    if engine == "array" or engine == "auto" and able and (scans or kernels.cost(trees) > ARRAY_CELLS):
         if not able:
             raise FormulaError("a formula is beyond the array engine")
         return _cut(_by_arrays(df, trees, keys, context), context, start, end)
     plan = _Plan(df, context)
+    if engine == "auto" and scans and not context.strict and not context.ieee:
+        plan.take_series(trees)
     deepest = max((plan.depth(t) for t in trees.values()), default=0)
     for depth in range(1, deepest + 1):
-        plan.layer(depth, [n for t in trees.values() for n in t.walk() if n.kind == "call" and n.name in registry.WINDOWED and plan.depth(n) == depth])
+        plan.layer(depth, [n for t in trees.values() for n in plan.open(t) if n.kind == "call" and n.name in registry.WINDOWED and plan.depth(n) == depth])
     return _cut(plan.df.select(*keys, *[plan.number(t).alias(name) for name, t in trees.items()]), context, start, end)
 
 
 def _by_arrays(df: DataFrame, trees: dict[str, Node], keys: list[str], context: Context) -> DataFrame:
     wanted = sorted(set().union(*(fields(t) for t in trees.values())))
     rows = df.select(*keys, *[F.col(c).cast("double").alias(f"__{c}") for c in wanted])
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _in_series(rows, {n: _renamed(t) for n, t in trees.items()}, keys, context, [f"__{c}" for c in wanted])
+
+
+def _in_series(rows: DataFrame, trees: dict[str, Node], keys: list[str], context: Context, inputs: list[str]) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, context.entity).sortWithinPartitions(context.entity, context.order)
     schema = T.StructType([*(rows.schema[k] for k in keys), *(T.StructField(n, T.DoubleType()) for n in trees)])
-    named = {n: _renamed(t) for n, t in trees.items()}
-    return rows.mapInArrow(kernels.runner(named, keys, context.entity, context.order, [f"__{c}" for c in wanted]), schema)
+    return rows.mapInArrow(kernels.runner(trees, keys, context.entity, context.order, inputs), schema)
 
 
 def _renamed(n: Node) -> Node:

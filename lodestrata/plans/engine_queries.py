@@ -201,6 +201,33 @@ def relation_rank(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate(p, {"value": "RelationRank($close)"}, keep=("industry",)).filter("industry is not null").select("instrument", "cal_idx", _r("value"))
 
 
+#: ``registry.hashed_uniform`` in SQL, of a text.
+_HASHED = "((('0x' || substr(md5({text}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+
+
+@query("relation_rank_unmapped", f"{PANEL_SQL}\nSELECT instrument, cal_idx, round({_HASHED.format(text="concat_ws('|', instrument, cal_idx, 7)")}, 6) AS value FROM {_REL} t WHERE industry IS NULL")
+def relation_rank_unmapped(spark: SparkSession, sf: str) -> DataFrame:
+    """Names without an industry get a rank by lot, the same in every run."""
+    p = S.with_industry(panel(spark, sf), spark.read.parquet(f"{sf}/relation.parquet"))
+    return evaluate(p, {"value": "RelationRank($close)"}, keep=("industry",)).filter("industry is null").select("instrument", "cal_idx", _r("value"))
+
+
+def _ema_sql(x: str, alpha: str) -> str:
+    """Of all known values so far, by their distance, which a list keeps."""
+    known = f"list({{'v': {x}, 't': cal_idx}}) FILTER ({x} IS NOT NULL) OVER w0"
+    latest = f"max(CASE WHEN {x} IS NOT NULL THEN cal_idx END) OVER w0"
+    part = lambda v: f"list_sum(list_transform({known}, lambda e: {v} * pow(1 - {alpha}, ({latest} - e.t)::DOUBLE)))"
+    return f"{part('e.v')} / {part('1.0')}"
+
+
+@query("ts_ema_gap", f"{PANEL_SQL}, gaps AS (SELECT instrument, cal_idx, CASE WHEN cal_idx % 97 = 5 THEN close END AS x FROM panel), v AS (SELECT instrument, cal_idx, {_ema_sql('x', '2.0 / 3')} AS narrow, {_ema_sql('x', '2.0 / 31')} AS wide FROM gaps WINDOW w0 AS (PARTITION BY instrument ORDER BY cal_idx))\nSELECT instrument, cal_idx, round(narrow, 6) + 0.0 AS narrow, round(wide, 6) + 0.0 AS wide FROM v")
+def ts_ema_gap(spark: SparkSession, sf: str) -> DataFrame:
+    """A value every 97 days, carried on through the gaps."""
+    p = panel(spark, sf).withColumn("gap", F.col("cal_idx") % 97)
+    sparse = "Div($close, Eq($gap, 5))"
+    return _rounded(evaluate(p, {"narrow": f"EMA({sparse}, 2)", "wide": f"EMA({sparse}, 30)"}).select("instrument", "cal_idx", "narrow", "wide"))
+
+
 @query("relation_demean", f"{PANEL_SQL}\nSELECT instrument, cal_idx, round(CASE WHEN industry IS NULL THEN CASE WHEN close IS NOT NULL THEN 0.0 END ELSE close - avg(close) OVER (PARTITION BY datetime, industry) END, 6) + 0.0 AS value FROM {_REL} t")
 def relation_demean(spark: SparkSession, sf: str) -> DataFrame:
     p = S.with_industry(panel(spark, sf), spark.read.parquet(f"{sf}/relation.parquet"))

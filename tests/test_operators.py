@@ -21,6 +21,7 @@ SERIES = {
     "one": np.array([4.0]),
     "two": np.array([4.0, 5.0]),
     "missing": np.full(6, np.nan),
+    "gap": np.where(np.isin(np.arange(800), [0, 60, 61, 790]), np.resize(DENSE, 800), np.nan),
 }
 
 
@@ -154,10 +155,28 @@ def test_array_kernels_agree_with_sql_windows(panel):
         np.testing.assert_allclose(a[name].to_numpy(float), b[name].to_numpy(float), rtol=1e-8, atol=1e-9, err_msg=formulas[name])
 
 
+def test_means_are_carried_through_gaps_of_any_length(panel):
+    got = evaluate(panel, {"e": "EMA($x, 2)", "c": "CSRank(EMA($x, 2))", "w": "Mean($x, 0.9)"}).filter("instrument = 'gap'").orderBy("cal_idx").toPandas()
+    want = pd.Series(SERIES["gap"])
+    np.testing.assert_allclose(got.e, want.ewm(span=2, min_periods=1).mean())
+    np.testing.assert_allclose(got.w, want.ewm(alpha=0.9, min_periods=1).mean())
+    assert got.e[789] == got.e[62] and got.c.notna().all()
+
+
+def test_scans_share_the_exchange_of_windows(panel):
+    formulas = {"a": "CSRank($x) + EMA($x, 5) + Mean($x, 3)", "b": "Rank(Mean($y, 4), 6)", "c": "EMA(CSRank(Mean($x, 3)), 4)"}
+    mixed = evaluate(panel, formulas)
+    assert evaluate(panel, {k: formulas[k] for k in "ab"})._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(instrument") == 1
+    a, b = (df.toPandas().sort_values(["instrument", "cal_idx"]) for df in (mixed, evaluate(panel, formulas, engine="sql")))
+    for name in formulas:
+        np.testing.assert_allclose(a[name].to_numpy(float), b[name].to_numpy(float), rtol=1e-9, err_msg=name)
+
+
 def test_auto_takes_arrays_for_wide_batches_only(panel):
     plan = lambda f: evaluate(panel, f)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan({"a": "Mean($x, 20)"})
     assert "MapInArrow" in plan({f"a{n}": f"Mean($x, {n})" for n in range(50, 54)})
+    assert "MapInArrow" in plan({"a": "Rank($x, 5)"})
     assert "MapInArrow" not in plan({f"a{n}": f"CSRank(Mean($x, {n}))" for n in range(50, 54)})
 
 
