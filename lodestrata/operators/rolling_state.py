@@ -1,102 +1,259 @@
-"""Totals over trailing periods, kept as a versioned daily state.
+"""Totals over trailing periods, kept as a versioned daily state in a folder.
 
-A day's total is yesterday's total plus today's arrivals less the amounts that leave the period. The state keeps
-amounts as decimals, so that adding and removing them is exact and a corrected state equals one built afresh.
+A day's total is yesterday's total plus today's arrivals less the amounts that leave the period. ``advance`` takes a
+delivery: for days after the state's last one it joins the totals of that day with the arrivals and the expiring
+amounts of the new days; for days before it, it adds the differences to the totals that they reach. Both tables are
+cut into parts of some days, and only the parts in reach are read and written anew, so a delivery costs what it
+reaches, however long the history is. A manifest per version names the parts that are valid, so every version can
+be loaded, by any session.
+
+Totals are sparse: an entity has rows on days that hold at least one of its keys in the longest period. The days
+between such stretches are filled in by ``trailing``. Sums are decimals, so that adding and removing amounts is exact
+and a corrected state equals one built afresh.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import datetime
+import json
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.storage import materialize
+from lodestrata.storage import listed, materialize, new_table, read_text, write_text
 
-DECIMAL = "decimal(28,6)"
-_SUM = "decimal(38,6)"
+#: An amount that the state's scale would change by more than this share of it is refused.
+LOSS = 1e-6
 
 
 @dataclass(frozen=True)
 class RollingState:
-    """``amounts`` (entity, day, fields, at, tie): the valid row of each key. ``totals`` (entity, day, version, sums
-    and counts of the trailing periods): one row per entity and day from its first to its last row."""
+    """One version of a state. ``amounts`` (entity, day, at, tie, fields): the valid row of each key. ``totals``
+    (entity, day, version, latest, rows, and per field and period a sum, a count and a count of infinite amounts)."""
 
-    amounts: DataFrame
-    totals: DataFrame
+    spark: SparkSession = field(repr=False, compare=False)
+    path: str
     fields: tuple[str, ...]
     periods: tuple[int, ...]
-    version: int
+    scale: int
+    part_days: int
+    entity: str  # type of the entity
+    version: int = 0
+    end: int | None = None  # last day of the totals, as days since 1970
+    amount_parts: dict[int, int] = field(default_factory=dict)  # part to the version that wrote it
+    total_parts: dict[int, int] = field(default_factory=dict)
+
+    # making and loading
 
     @classmethod
-    def build(cls, rows: DataFrame, fields: tuple[str, ...], periods: tuple[int, ...] = (7, 30)) -> RollingState:
-        """State of ``rows(entity, day, at, tie, fields...)``.
+    def create(cls, spark: SparkSession, path: str, fields: tuple[str, ...], periods: tuple[int, ...] = (7, 30), scale: int = 12, part_days: int = 30, entity: str = "string") -> RollingState:
+        """An empty state in ``path``, a folder that all executors share. ``part_days`` days of a table are one part."""
+        return cls(spark, path.rstrip("/"), tuple(fields), tuple(periods), scale, part_days, entity)._kept()
 
-        Of several rows with one (entity, day) the one with the largest (at, tie) is valid, its NULLs included. NULL
-        and NaN fields add nothing; rows with a NULL entity or day are left out. No rows make an empty state.
-        """
-        amounts = materialize(_valid(rows, fields), "amounts")
-        empty = [F.lit(0).cast(_SUM).alias(_s(f, w)) for f in fields for w in periods], [F.lit(0).cast("bigint").alias(_n(f, w)) for f in fields for w in periods]
-        arrive = amounts.select("entity", "day", *[F.coalesce(F.col(f).cast(_SUM), F.lit(0)).alias(_s(f, w)) for f in fields for w in periods], *[F.col(f).isNotNull().cast("bigint").alias(_n(f, w)) for f in fields for w in periods])
-        expire = [amounts.select("entity", F.date_add("day", p).alias("day"), *[(-F.coalesce(F.col(f).cast(_SUM), F.lit(0)) if w == p else F.lit(0).cast(_SUM)).alias(_s(f, w)) for f in fields for w in periods], *[(-F.col(f).isNotNull().cast("bigint") if w == p else F.lit(0).cast("bigint")).alias(_n(f, w)) for f in fields for w in periods]) for p in periods]
-        days = _span(amounts).select("entity", "last", F.explode(F.sequence("first", "last")).alias("day"))
-        dense = days.select("entity", "day", *empty[0], *empty[1])
-        columns = [c for f in fields for w in periods for c in (_s(f, w), _n(f, w))]
-        change = reduce(DataFrame.unionByName, [dense, arrive, *expire]).groupBy("entity", "day").agg(*[F.sum(c).cast(_SUM if c.endswith("sum") else "bigint").alias(c) for c in columns])
-        # a running sum per entity: at most as many rows as the calendar has days, whatever was delivered
-        running = Window.partitionBy("entity").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-        totals = change.select("entity", "day", *[F.sum(c).over(running).cast(_SUM if c.endswith("sum") else "bigint").alias(c) for c in columns])
-        last = _span(amounts).select("entity", "last")
-        totals = totals.join(last, "entity").filter("day <= last").drop("last").withColumn("version", F.lit(0))
-        return cls(amounts, materialize(totals, "totals"), tuple(fields), tuple(periods), 0)
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> RollingState:
+        """The newest version of a state, or an older one."""
+        path = path.rstrip("/")
+        found = [int(n[9:-5]) for n in listed(spark, path) if n.startswith("manifest-")]
+        m = json.loads(read_text(spark, f"{path}/manifest-{max(found) if version is None else version}.json"))
+        parts = lambda name: {int(k): v for k, v in m[name].items()}
+        return cls(spark, path, tuple(m["fields"]), tuple(m["periods"]), m["scale"], m["part_days"], m["entity"], m["version"], m["end"], parts("amount_parts"), parts("total_parts"))
+
+    @classmethod
+    def build(cls, rows: DataFrame, fields: tuple[str, ...], periods: tuple[int, ...] = (7, 30), path: str | None = None, **how) -> RollingState:
+        """State of ``rows`` as in ``advance``; without ``path`` it goes when the application ends."""
+        spark = rows.sparkSession
+        return cls.create(spark, path or new_table(spark, "rolling"), fields, periods, entity=rows.schema["entity"].dataType.simpleString(), **how).advance(rows)
+
+    def _kept(self) -> RollingState:
+        names = ("fields", "periods", "scale", "part_days", "entity", "version", "end", "amount_parts", "total_parts")
+        write_text(self.spark, f"{self.path}/manifest-{self.version}.json", json.dumps({n: getattr(self, n) for n in names}))
+        return self
+
+    # columns
+
+    @property
+    def _sum(self) -> str:
+        return f"decimal(38,{self.scale})"
+
+    @property
+    def _columns(self) -> dict[str, str]:
+        """Additive columns of the totals and their types."""
+        out = {"rows": "bigint"}
+        for f in self.fields:
+            for w in self.periods:
+                out |= {_s(f, w): self._sum, _n(f, w): "bigint", _i(f, w): "bigint"}
+        return out
+
+    def _added(self, rows: DataFrame, keys: list[str], **more: Column) -> DataFrame:
+        return rows.groupBy(*keys).agg(*[x.alias(c) for c, x in more.items()], *[F.sum(c).cast(t).alias(c) for c, t in self._columns.items()])
+
+    def _part(self, day: Column | str) -> Column:
+        return F.floor(F.unix_date(day) / self.part_days).cast("int")
+
+    # tables
+
+    def _read(self, table: str, parts: set[int] | None = None) -> DataFrame:
+        kept = self.amount_parts if table == "amounts" else self.total_parts
+        paths = [f"{self.path}/{table}/version={v}/part={p}" for p, v in sorted(kept.items()) if parts is None or p in parts]
+        if table == "amounts":
+            schema = f"entity {self.entity}, day date, at bigint, tie bigint, " + ", ".join(f"`{f}` double" for f in self.fields)
+        else:
+            schema = f"entity {self.entity}, day date, version int, latest date, " + ", ".join(f"`{c}` {t}" for c, t in self._columns.items())
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _write(self, df: DataFrame, table: str, version: int, parts: int) -> dict[int, int]:
+        """Write a version of about so many parts; returns which."""
+        path = f"{self.path}/{table}/version={version}"
+        df = df.withColumn("part", self._part("day"))
+        if parts > 2:
+            # else every task would write a small file of every part; large parts are split, small ones joined
+            df = df.hint("rebalance", "part")
+        df.write.mode("overwrite").partitionBy("part").parquet(path)
+        return {int(n[5:]): version for n in listed(self.spark, path) if n.startswith("part=")}
+
+    @property
+    def totals(self) -> DataFrame:
+        return self._read("totals")
+
+    @property
+    def amounts(self) -> DataFrame:
+        return self._read("amounts")
+
+    # deliveries
 
     def advance(self, rows: DataFrame) -> RollingState:
-        """The next version: ``rows`` as in ``build``, arriving days late, anew or revised.
+        """The next version, with the delivery ``rows(entity, day, at, tie, fields...)``, new, late or revised.
 
-        Totals change only for the days whose trailing period holds a delivered key and for days new to an entity's
-        span. To the old total of such a day the differences of the keys in its period are added; days after the old
-        end also take the old amounts that their periods reach. All other rows keep their version.
+        Of several rows with one (entity, day) the one with the largest (at, tie) is valid, its NULLs included, whenever
+        it came. NULL and NaN fields add nothing, infinite ones make the totals of their periods infinite (or NaN, if
+        of both signs); rows with a NULL entity or day are left out; no rows change nothing. Amounts that don't fit
+        the scale raise an error. Rows of totals that nothing touches keep their version.
         """
-        longest, totals = max(self.periods), self.totals
+        version, longest = self.version + 1, max(self.periods)
         came = materialize(_valid(rows, self.fields), "came")
-        amounts = materialize(_newest(self.amounts.unionByName(came), self.fields), "amounts")
-        before, after = _span(self.amounts), _span(amounts)
-        spans = after.join(before.select("entity", F.col("first").alias("f0"), F.col("last").alias("l0")), "entity", "left")
-        reach = F.sequence("day", F.date_add("day", longest - 1))
-        touched = came.select("entity", F.explode(reach).alias("day"))
-        grown = spans.filter("f0 is null or first < f0 or last > l0").select("entity", F.explode(F.sequence("first", "last")).alias("day"), "f0", "l0").filter("f0 is null or day < f0 or day > l0").select("entity", "day")
-        affected = touched.unionByName(grown).join(after, "entity").filter("day between first and last").select("entity", "day")
-
-        # each delivered key's valid amount less the one before, as far as either is there
-        keys = came.select("entity", "day")
-        then, now = (t.join(keys, ["entity", "day"], "left_semi").select("entity", "day", *self.fields) for t in (self.amounts, amounts))
-        old_tail = self.amounts.join(spans.filter("last > l0").select("entity", "l0"), "entity").filter(F.datediff("l0", "day") < longest - 1)
-        parts = [self._spread(now, 1), self._spread(then, -1), self._spread(old_tail.select("entity", "day", "l0", *self.fields), 1, beyond="l0")]
-        columns = [c for f in self.fields for w in self.periods for c in (_s(f, w), _n(f, w))]
-        blank = affected.select("entity", "day", F.lit(self.version + 1).alias("version"), *[F.lit(0).cast(_SUM if c.endswith("sum") else "bigint").alias(c) for c in columns])
-        every = reduce(DataFrame.unionByName, [totals.select("entity", "day", "version", *columns), blank, *parts])
-        summed = every.groupBy("entity", "day").agg(F.max("version").alias("version"), *[F.sum(c).cast(_SUM if c.endswith("sum") else "bigint").alias(c) for c in columns])
-        return RollingState(amounts, materialize(summed.filter("version is not null"), "totals"), self.fields, self.periods, self.version + 1)
-
-    def _spread(self, rows: DataFrame, sign: int, beyond: str | None = None) -> DataFrame:
-        """Contributions of amounts to the totals of the days whose periods hold them, without a version."""
-        days = rows.withColumn("__to", F.explode(F.sequence("day", F.date_add("day", max(self.periods) - 1))))
-        if beyond:
-            days = days.filter(F.col("__to") > F.col(beyond))
-        within = lambda f, w, x: F.when((F.datediff("__to", "day") < w) & F.col(f).isNotNull(), x)
-        sums = [(F.coalesce(within(f, w, F.col(f).cast(_SUM)), F.lit(0)) * sign).cast(_SUM).alias(_s(f, w)) for f in self.fields for w in self.periods]
-        counts = [(F.coalesce(within(f, w, F.lit(1)), F.lit(0)) * sign).cast("bigint").alias(_n(f, w)) for f in self.fields for w in self.periods]
-        return days.select("entity", F.col("__to").alias("day"), F.lit(None).cast("int").alias("version"), *sums, *counts)
+        days = sorted(r.d for r in came.select(F.unix_date("day").alias("d")).distinct().collect())  # one row a calendar day at most
+        if not days:
+            return replace(self, version=version)._kept()
+        part = lambda d: d // self.part_days
+        touched = set(map(part, days))
+        held = touched & self.amount_parts.keys()
+        merged = self._merged(came, held)
+        amounts = replace(self, amount_parts=self.amount_parts | self._write(merged.select("entity", "day", "at", "tie", *self.fields), "amounts", version, len(touched)))
+
+        end = self.end if self.end is not None else days[0] - 1
+        new_end = max(end, days[-1])
+        reach = {part(x) for d in days if d <= end for x in range(d, min(d + longest, end + 1))} & self.total_parts.keys()
+        opening = {part(end)} & self.total_parts.keys() if new_end > end else set()
+        past = self._read("totals", reach | opening)
+        if days[0] <= end:
+            late = self._spread(merged.filter(F.col("touched") & (F.unix_date("day") <= end)), end).withColumn("version", F.lit(version))
+            past = materialize(self._added(past.unionByName(late), ["entity", "day"], version=F.max("version"), latest=F.max("latest")), "past")
+        if new_end > end:
+            arrivals = merged.filter(F.unix_date("day") > end)
+            block = self._block(amounts, past.filter(F.unix_date("day") == end), arrivals, end, new_end).withColumn("version", F.lit(version))
+            past = past.unionByName(block)
+        written = self._write(past, "totals", version, len(reach) + part(new_end) - part(end))
+        return replace(amounts, version=version, end=new_end, total_parts=self.total_parts | written)._kept()
+
+    def _merged(self, came: DataFrame, held: set[int]) -> DataFrame:
+        """Valid rows of the parts that the delivery touches, with what each key held before and whether it came."""
+        now, names = F.struct("at", "tie", *self.fields), ["at", "tie", *self.fields]
+        if not held:
+            return came.select("entity", "day", *names, F.lit(True).alias("touched"), F.lit(False).alias("known"), *[F.lit(None).cast("double").alias(_old(f)) for f in self.fields])
+        both = self._read("amounts", held).withColumn("late", F.lit(False)).unionByName(came.withColumn("late", F.lit(True)))
+        found = both.groupBy("entity", "day").agg(F.max(now).alias("r"), F.bool_or("late").alias("touched"), F.bool_or(~F.col("late")).alias("known"), *[F.max(F.when(~F.col("late"), F.col(f))).alias(_old(f)) for f in self.fields])
+        return materialize(found.select("entity", "day", "r.*", "touched", "known", *[_old(f) for f in self.fields]), "merged")
+
+    def _amount(self, name: str) -> Column:
+        """A finite amount as decimal; an error if the scale can't hold it."""
+        x = F.col(name)
+        exact = x.try_cast(self._sum)
+        kept = F.coalesce(F.abs(exact.cast("double") - x) <= LOSS * F.abs(x), F.lit(False))
+        wrong = F.raise_error(F.concat(F.lit(f"an amount of {name} does not fit {self.scale} places: "), x.cast("string"))).cast(self._sum)
+        return F.when(_finite(x), F.when(kept, exact).otherwise(wrong)).otherwise(F.lit(0).cast(self._sum))
+
+    def _terms(self, name: str) -> tuple[Column, Column, Column]:
+        """Sum, count and infinities of one amount: positive ones count 1, negative ones 2 ** 32."""
+        x = F.col(name)
+        wild = F.when(x == float("inf"), 1).when(x == float("-inf"), 1 << 32).otherwise(0).cast("bigint")
+        return self._amount(name), (x.isNotNull() & ~F.isnan(x)).cast("bigint"), wild
+
+    def _spread(self, rows: DataFrame, end: int) -> DataFrame:
+        """What delivered keys add to the totals up to ``end`` whose periods hold them: as many rows as the longest period a key."""
+        add = rows.select("entity", "day", F.col("known"), *[x for f in self.fields for x in self._differences(f)])
+        to = F.least(F.date_add("day", max(self.periods) - 1), F.date_from_unix_date(F.lit(end)))
+        add = add.withColumn("to", F.explode(F.sequence("day", to)))
+        within = lambda w, x, t: F.when(F.datediff("to", "day") < w, x).otherwise(F.lit(0)).cast(t)
+        out = [(~F.col("known")).cast("bigint").alias("rows")]
+        for f in self.fields:
+            for w in self.periods:
+                out += [within(w, F.col(f"s_{f}"), self._sum).alias(_s(f, w)), within(w, F.col(f"n_{f}"), "bigint").alias(_n(f, w)), within(w, F.col(f"i_{f}"), "bigint").alias(_i(f, w))]
+        return add.select("entity", F.col("to").alias("day"), F.col("day").alias("latest"), *out)
+
+    def _differences(self, f: str) -> list[Column]:
+        return [F.coalesce(a, F.lit(0)).cast(t).__sub__(F.coalesce(b, F.lit(0)).cast(t)).cast(t).alias(f"{k}_{f}") for a, b, t, k in zip(self._terms(f), self._terms(_old(f)), (self._sum, "bigint", "bigint"), "sni")]
+
+    def _block(self, amounts: RollingState, opening: DataFrame, arrivals: DataFrame, end: int, new_end: int) -> DataFrame:
+        """Totals of the days after ``end`` up to ``new_end``: the totals of ``end``, joined with what arrives and what expires.
+
+        One exchange by entity, of which a block has at most as many rows as three a day.
+        """
+        longest = max(self.periods)
+        day = F.unix_date("day")
+        terms = {f: self._terms(f) for f in self.fields}
+        blank = dict.fromkeys(self._columns, F.lit(0))
+
+        def change(rows: DataFrame, at: Column, latest: Column, values: dict[str, Column]) -> DataFrame:
+            return rows.select("entity", at.alias("day"), latest.alias("latest"), *[F.coalesce((blank | values)[c], F.lit(0)).cast(t).alias(c) for c, t in self._columns.items()])
+
+        def moved(sign: int, periods: tuple[int, ...], rows: int) -> dict[str, Column]:
+            out = {"rows": F.lit(rows)}
+            for f, (s, n, i) in terms.items():
+                for w in periods:
+                    out |= {_s(f, w): s * sign, _n(f, w): n * sign, _i(f, w): i * sign}
+            return out
+
+        parts = [opening.select("entity", "day", "latest", *self._columns), change(arrivals, F.col("day"), F.col("day"), moved(1, self.periods, 1))]
+        for w in self.periods:
+            # what was there before the block, and what comes and goes within it
+            gone = amounts._read("amounts", {d // self.part_days for d in range(end + 1 - w, new_end + 1 - w)}).filter(day.between(end + 1 - w, new_end - w))
+            parts.append(change(gone, F.date_add("day", w), F.lit(None).cast("date"), moved(-1, (w,), -1 if w == longest else 0)))
+        changes = reduce(DataFrame.unionByName, parts).repartition("entity")
+        changes = self._added(changes, ["entity", "day"], latest=F.max("latest"))
+        order = Window.partitionBy("entity").orderBy("day")
+        running = order.rowsBetween(Window.unboundedPreceding, 0)
+        sums = changes.select("entity", "day", F.max("latest").over(running).alias("latest"), F.lead("day").over(order).alias("next"), *[F.sum(c).over(running).cast(t).alias(c) for c, t in self._columns.items()])
+        stop = F.coalesce(F.date_sub("next", 1), F.date_from_unix_date(F.lit(new_end)))
+        days = sums.filter("rows > 0").withColumn("day", F.explode(F.sequence("day", stop)))
+        return days.filter(day > end).select("entity", "day", "latest", *self._columns)
+
+    # results
 
     def trailing(self) -> DataFrame:
-        """(entity, day, <field>_sum_<period>, <field>_mean_<period>...): NULL where the period holds no value."""
+        """(entity, day, <field>_sum_<period>, <field>_mean_<period>...) of every day from an entity's first to its last row.
+
+        NULL where the period holds no value.
+        """
+        every = Window.partitionBy("entity")
+        rows = self.totals.withColumn("__last", F.max("latest").over(every)).withColumn("__next", F.lead("day").over(every.orderBy("day"))).filter("day <= __last")
+        stop = F.coalesce(F.date_sub(F.least("__next", F.date_add("__last", 1)), 1), F.col("day"))
+        rows = rows.withColumn("__day", F.explode(F.sequence("day", stop)))
         out: list[Column] = []
         for f in self.fields:
             for w in self.periods:
-                n, s = F.col(_n(f, w)), F.col(_s(f, w)).cast("double")
-                out += [F.when(n > 0, s).alias(f"{f}_sum_{w}"), F.when(n > 0, s / n).alias(f"{f}_mean_{w}")]
-        return self.totals.select("entity", "day", *out)
+                n, wild = F.when(F.col("__day") == F.col("day"), F.col(_n(f, w))), F.col(_i(f, w))
+                up, down = wild % (1 << 32), F.floor(wild / (1 << 32))
+                s = F.when((up > 0) & (down > 0), float("nan")).when(up > 0, float("inf")).when(down > 0, float("-inf")).otherwise(F.col(_s(f, w)).cast("double"))
+                out += [F.when(n > 0, s).alias(f"{f}_sum_{w}"), F.when(n > 0, s / F.when(n > 0, n)).alias(f"{f}_mean_{w}")]
+        return rows.select("entity", F.col("__day").alias("day"), *out)
+
+
+def as_of(day: datetime.date) -> int:
+    """A date as the days since 1970 that ``RollingState.end`` counts."""
+    return (day - datetime.date(1970, 1, 1)).days
 
 
 def _s(field: str, period: int) -> str:
@@ -107,17 +264,21 @@ def _n(field: str, period: int) -> str:
     return f"{field}_{period}_n"
 
 
-def _newest(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    last = F.max_by(F.struct("at", "tie", *fields), F.struct("at", "tie")).alias("r")
-    return rows.groupBy("entity", "day").agg(last).select("entity", "day", "r.*")
+def _i(field: str, period: int) -> str:
+    return f"{field}_{period}_wild"
 
 
-def _valid(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    amount = lambda f: F.when(~F.isnan(f), F.col(f)).cast(DECIMAL).alias(f)
-    at = F.coalesce(F.unix_micros(F.col("at").cast("timestamp")), F.lit(-(1 << 62)))
-    rows = rows.filter("entity is not null and day is not null").select("entity", F.col("day").cast("date").alias("day"), at.alias("at"), F.coalesce(F.col("tie").cast("bigint"), F.lit(-(1 << 62))).alias("tie"), *[amount(f) for f in fields])
-    return _newest(rows, fields)
+def _old(field: str) -> str:
+    return f"{field}__old"
+
+
+def _finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
-def _span(amounts: DataFrame) -> DataFrame:
-    return amounts.groupBy("entity").agg(F.min("day").alias("first"), F.max("day").alias("last"))
+def _valid(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """The row of each key that counts: the largest (at, tie), of equal ones the larger fields."""
+    at = F.coalesce(F.unix_micros(F.col("at").cast("timestamp")), F.lit(-(1 << 62)))
+    amounts = [F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")).alias(f) for f in fields]
+    rows = rows.filter("entity is not null and day is not null").select("entity", F.col("day").cast("date").alias("day"), at.alias("at"), F.coalesce(F.col("tie").cast("bigint"), F.lit(-(1 << 62))).alias("tie"), *amounts)
+    return rows.groupBy("entity", "day").agg(F.max(F.struct("at", "tie", *fields)).alias("r")).select("entity", "day", "r.*")

@@ -51,14 +51,45 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system; none if there is no such folder."""
+    system, where = _folder(spark, path)
+    return sorted(x.getPath().getName() for x in system.listStatus(where)) if system.exists(where) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, which appears whole or not at all; an existing one is an error."""
+    system, where = _folder(spark, path)
+    _, half = _folder(spark, f"{path}.{uuid.uuid4().hex}")
+    out = system.create(half)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if system.exists(where) or not system.rename(half, where):
+        system.delete(half, False)
+        raise FileExistsError(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    system, where = _folder(spark, path)
+    stream = system.open(where)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 def release(spark: SparkSession | None = None) -> None:
     """Delete all tables written by ``materialize``, or those of one session."""
     for session, path in list(_written):
         if spark is None or session is spark:
             try:
-                jvm, conf = session.sparkContext._jvm, session.sparkContext._jsc.hadoopConfiguration()
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(conf).delete(where, True)
+                system, where = _folder(session, path)
+                system.delete(where, True)
             except Exception:  # the session may have ended already
                 pass
             _written.remove((session, path))

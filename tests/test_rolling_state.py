@@ -4,6 +4,7 @@ from datetime import date, datetime
 
 import numpy as np
 import pandas as pd
+import pytest
 from lodestrata.operators.rolling_state import RollingState
 from pyspark.sql import functions as F
 
@@ -56,15 +57,58 @@ def test_corrections_give_what_a_new_state_would(spark):
     for part in (rows[150:220], rows[220:]):
         state = state.advance(spark.createDataFrame(part, SCHEMA))
     same(values(state), brute(rows))
-    assert state.version == 2
+    assert state.version == 3
     versions = {r.version for r in state.totals.select("version").distinct().collect()}
-    assert 2 in versions
+    assert 3 in versions
 
 
 def test_untouched_days_keep_their_version(spark):
     rows = [("a", date(2024, 1, d), datetime(2024, 2, 1), d, 1.0) for d in range(1, 31)]
     state = RollingState.build(spark.createDataFrame(rows, SCHEMA), ("v",), (7,)).advance(spark.createDataFrame([("a", date(2024, 1, 10), datetime(2024, 3, 1), 99, 5.0)], SCHEMA))
-    assert [r.day.day for r in state.totals.filter("version = 1").orderBy("day").collect()] == list(range(10, 17))
+    assert [r.day.day for r in state.totals.filter("version = 2").orderBy("day").collect()] == list(range(10, 17))
+
+
+def test_day_by_day_in_new_sessions_like_at_once(spark, tmp_path):
+    rows = [r for r in make(5, 60) if r[1].day % 4 == 0]
+    RollingState.create(spark, str(tmp_path), ("v",), part_days=7)
+    days = sorted({r[1] for r in rows})
+    for d in days[::3] + days[1::3] + days[2::3]:  # out of order: two thirds come late
+        state = RollingState.load(spark.newSession(), str(tmp_path))
+        state.advance(state.spark.createDataFrame([r for r in rows if r[1] == d], SCHEMA))
+    state = RollingState.load(spark, str(tmp_path))
+    assert state.version == len(days)
+    same(values(state), brute(rows))
+    # older versions are still there
+    first = RollingState.load(spark, str(tmp_path), 1)
+    same(values(first), brute([r for r in rows if r[1] == days[0]]))
+
+
+def test_a_delivery_reads_and_writes_the_parts_in_reach(spark, tmp_path):
+    rows = [("a", date(2023, 1, 1) + pd.Timedelta(days=i).to_pytimedelta(), datetime(2024, 6, 1), i, 1.0) for i in range(400)]
+    state = RollingState.create(spark, str(tmp_path), ("v",), part_days=10).advance(spark.createDataFrame(rows, SCHEMA))
+    read = []
+
+    class Watched(RollingState):
+        def _read(self, table, parts=None):
+            read.append((table, parts))
+            return super()._read(table, parts)
+
+    watched = Watched(**{k: getattr(state, k) for k in RollingState.__dataclass_fields__})
+    new = watched.advance(spark.createDataFrame([("a", date(2024, 2, 5), datetime(2024, 6, 2), 1, 7.0)], SCHEMA))
+    assert all(parts is not None and len(parts) <= 5 for _, parts in read) and len(read) >= 4
+    assert sum(v == 2 for v in new.total_parts.values()) <= 2 and sum(v == 2 for v in new.amount_parts.values()) == 1
+    assert new.trailing().filter("day = '2024-02-05'").first().v_sum_7 == 6 + 7.0
+
+
+def test_small_large_and_infinite_amounts(spark):
+    inf = float("inf")
+    rows = [("tiny", date(2024, 1, 1), None, 1, 4e-7), ("tiny", date(2024, 1, 2), None, 1, 4e-7), ("wild", date(2024, 1, 1), None, 1, inf), ("wild", date(2024, 1, 9), None, 1, 2.0), ("both", date(2024, 1, 1), None, 1, inf), ("both", date(2024, 1, 2), None, 1, -inf)]
+    got = {(r.entity, r.day.day): r.v_sum_7 for r in RollingState.build(spark.createDataFrame(rows, SCHEMA), ("v",)).trailing().collect()}
+    assert got[("tiny", 2)] == 8e-7 and got[("wild", 7)] == inf and got[("wild", 8)] is None and got[("wild", 9)] == 2.0 and np.isnan(got[("both", 2)])
+    for x in (3e-14, 1e30):
+        with pytest.raises(Exception, match="does not fit"):
+            RollingState.build(spark.createDataFrame([("a", date(2024, 1, 1), None, 1, x)], SCHEMA), ("v",))
+    assert RollingState.build(spark.createDataFrame([("a", date(2024, 1, 1), None, 1, 3e-14)], SCHEMA), ("v",), scale=20).trailing().first().v_sum_7 == 3e-14
 
 
 def test_edges(spark):
