@@ -11,7 +11,7 @@ from lodestrata.llm import formula_text
 from lodestrata.llm.collapse import assign_keepers
 from lodestrata.llm.leaks import find_leaks
 from lodestrata.llm.mixing import mix
-from lodestrata.llm.near_duplicates import classes_and_links, expand_pairs
+from lodestrata.llm.near_duplicates import class_of_each, expanded
 from lodestrata.llm.reading import reading_levels
 from lodestrata.llm.top_items import top_n
 
@@ -26,15 +26,14 @@ def _formulas(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    found = expand_pairs(*classes_and_links(_formulas(spark, sf), formula_text.words))
+    found = expanded(_formulas(spark, sf), formula_text.words)
     return found.select(F.col("id_a").alias("rec_id_a"), F.col("id_b").alias("rec_id_b"))
 
 
 def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
     """One row per record with the class of its bag and the class's number of links to other classes."""
-    members, links = classes_and_links(_formulas(spark, sf), formula_text.words)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    return members.join(degree, "rep", "left").select(F.col("id").alias("rec_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+    found = class_of_each(_formulas(spark, sf), formula_text.words)
+    return found.select(F.col("id").alias("rec_id"), F.col("rep").alias("class_id"), "n_links")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from lodestrata.llm import formula_text as ft
 from lodestrata.llm.collapse import SEGMENT_BITS, Filters, assign_keepers
-from lodestrata.llm.near_duplicates import Overlap, classes_and_links, expand_pairs
+from lodestrata.llm.near_duplicates import Overlap, class_of_each, classes_and_links, expanded
 from lodestrata.llm.top_items import top_n
 
 TEXT = "id bigint, text string"
@@ -113,10 +113,10 @@ def random_formulas(seed, n, tokens):
     return rows
 
 
-@pytest.mark.parametrize("seed, tokens, length", [(1, 30, 800.0), (2, 300, 4.0), (3, 30, 2.0), (4, 5, 1.0)])
-def test_pairs_like_brute_force(spark, seed, tokens, length):
+@pytest.mark.parametrize("seed, tokens, length, tile", [(1, 30, 800.0, 5), (2, 300, 4.0, 20_000), (3, 30, 2.0, 1), (4, 5, 1.0, 7)])
+def test_pairs_like_brute_force(spark, seed, tokens, length, tile):
     rows = random_formulas(seed, 150, tokens)
-    got = expand_pairs(*classes_and_links(spark.createDataFrame(rows, TEXT), ft.words, Overlap(list_length=length, block_postings=3000, slice_pairs=500)))
+    got = expanded(spark.createDataFrame(rows, TEXT), ft.words, Overlap(list_length=length, block_postings=3000, slice_pairs=500, tile_documents=tile, class_chunk=3))
     found = [tuple(r) for r in got.collect()]
     assert len(found) == len(set(found)) and set(found) == bag_pairs(rows)
 
@@ -124,15 +124,39 @@ def test_pairs_like_brute_force(spark, seed, tokens, length):
 @pytest.mark.parametrize("t", [0.5, 0.9])
 def test_other_thresholds(spark, t):
     rows = random_formulas(9, 120, 40)
-    got = expand_pairs(*classes_and_links(spark.createDataFrame(rows, TEXT), ft.words, Overlap(threshold=t, list_length=5.0)))
+    got = expanded(spark.createDataFrame(rows, TEXT), ft.words, Overlap(threshold=t, list_length=5.0))
     assert {tuple(r) for r in got.collect()} == bag_pairs(rows, t)
 
 
+def test_pairs_of_long_bags(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(60):
+        if i % 3 == 0:
+            base = [f"w{k}" for k in rng.integers(0, 900, int(rng.integers(230, 420)))]
+        words = list(base)
+        for k in rng.integers(0, len(words), int(rng.integers(0, 60))):
+            words[k] = f"w{rng.integers(900)}"
+        rows.append((i, " ".join(words[: len(words) - int(rng.integers(0, 40))])))
+    for rules in (Overlap(), Overlap(tile_documents=2)):
+        found = [tuple(r) for r in expanded(spark.createDataFrame(rows, TEXT), ft.words, rules).collect()]
+        assert len(found) == len(set(found)) and set(found) == bag_pairs(rows) and len(found) > 10
+
+
+def test_a_large_class_is_cut_into_chunks(spark):
+    rows = [(i, "a b c") for i in range(40)] + [(100 + i, "a b c d") for i in range(30)] + [(200, "x")]
+    df = spark.createDataFrame(rows, TEXT)
+    found = [tuple(r) for r in expanded(df, ft.words, Overlap(class_chunk=4)).collect()]
+    assert len(found) == len(set(found)) == 70 * 69 // 2 and set(found) == bag_pairs(rows)
+    each = {r.id: (r.rep, r.n_links) for r in class_of_each(df, ft.words).collect()}
+    assert each == {i: (0, 1) if i < 100 else (100, 1) if i < 200 else (200, 0) for i, _ in rows}
+
+
 def test_pairs_at_the_edges(spark):
     long = " ".join(f"x{k}" for k in range(700))
     rows = [(1, "a b c d"), (2, "A, b; c d"), (3, None), (None, "a b c d"), (4, ""), (5, "--"), (6, long), (7, long + " y"), (8, "a b c"), (9, "a")]
     df = spark.createDataFrame(rows, TEXT).selectExpr("*", "1 as rep", "'x' as bag", "2 as h1")
-    got = {tuple(r) for r in expand_pairs(*classes_and_links(df, ft.words)).collect()}
+    got = {tuple(r) for r in expanded(df, ft.words).collect()}
     assert got == bag_pairs(rows)
     assert (1, 8) in got and (6, 7) in got and (4, 5) in got
     members, links = classes_and_links(spark.createDataFrame([], TEXT), ft.words)
