@@ -31,7 +31,7 @@ class Overlap:
 
     threshold: float = 0.75
     list_length: float = 800.0  # expected documents of an n-gram at which it grows no further
-    block_postings: int = 250_000
+    block_postings: int = 500_000
     slice_pairs: int = 1_000_000  # pairs expanded at once
     tile_documents: int = 20_000  # expected documents of a column from which it is cut into tiles
     least_met: int = 3  # elements that the prefixes of two long bags must share
@@ -276,13 +276,13 @@ def _incidence(rules: Overlap, blocks: int, n_docs: int, frequency):
     return run
 
 
-def _counted(found: list[np.ndarray]) -> np.ndarray:
-    """(a, b, columns, least) with the columns of equal pairs added up."""
-    every = np.concatenate(found)
-    order = np.lexsort((every[:, 1], every[:, 0]))
-    every = every[order]
-    start = np.flatnonzero(np.r_[True, (every[1:, 0] != every[:-1, 0]) | (every[1:, 1] != every[:-1, 1])])
-    return np.stack([every[start, 0], every[start, 1], np.add.reduceat(every[:, 2], start), every[start, 3]], 1)
+def _counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the counts of equal ones added up."""
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key)
+    key = key[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[start], np.add.reduceat(count[order], start)
 
 
 def _product(rules: Overlap):
@@ -315,10 +315,15 @@ def _product(rules: Overlap):
         count = np.maximum(hi - lo, 0)
         keep = count > 0
         sd, lo, count = sd[keep], lo[keep], count[keep]
-        l_sketch, l_size, l_id = sketch[ld], size[ld], ident[ld]
-        found, held = [], 0
+        l_sketch, l_size = sketch[ld], size[ld]
+        found, times, held = [], [], 0
         limits, total = [0], 0
         edges = np.cumsum(count)
+
+        def pairs(key: np.ndarray, met: np.ndarray) -> np.ndarray:
+            x, y = key // base, key % base
+            return np.stack([ident[x], ident[y], met, np.where(size[x] > LONG, rules.least_met, 1)], 1)
+
         while limits[-1] < len(count):
             nxt = int(np.searchsorted(edges, total + rules.slice_pairs, "right"))
             nxt = max(nxt, limits[-1] + 1)
@@ -333,28 +338,30 @@ def _product(rules: Overlap):
             # |A| + |B| - 2 overlap of a pair at the threshold
             most = ((size[a] + l_size[b]) * ((1 - t) / (1 + t)) + 1e-9).astype(np.int64)
             ok = np.flatnonzero(differ <= most)
-            ia, ib = ident[a[ok]], l_id[b[ok]]
-            ok = (ia != ib) & ((size[a[ok]] < l_size[b[ok]]) | (ia < ib))
+            x, y = a[ok], ld[b[ok]]
+            ok = (x != y) & ((size[x] < size[y]) | (ident[x] < ident[y]))
             if ok.any():
-                least = np.where(size[a][np.flatnonzero(differ <= most)[ok]] > LONG, rules.least_met, 1)
-                found.append(_counted([np.stack([ia[ok], ib[ok], np.ones(int(ok.sum()), np.int64), least], 1)]))
-                held += len(found[-1])
+                key = x[ok] * base + y[ok]
+                key, met = _counted([key], [np.ones(len(key), np.int64)])
+                found.append(key)
+                times.append(met)
+                held += len(key)
                 if held > 2 * rules.slice_pairs:
-                    found = [_counted(found)]
-                    held = len(found[0])
+                    key, met = _counted(found, times)
+                    found, times, held = [key], [met], len(key)
                     if held > rules.slice_pairs:
-                        yield found.pop()
-                        held = 0
+                        yield pairs(key, met)
+                        found, times, held = [], [], 0
         if found:
-            yield _counted(found)
+            yield pairs(*_counted(found, times))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks come one after another."""
         held: list[dict] = []
 
         def done() -> Iterator[pa.RecordBatch]:
-            for pairs in block(held) if held else ():
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy()) for i in range(4)], names=["a", "b", "met", "least"])
+            for found in block(held) if held else ():
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, i].copy()) for i in range(4)], names=["a", "b", "met", "least"])
 
         for b in batches:
             for row in b.to_pylist():
