@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +18,11 @@ from lodestrata.storage import materialize
 @dataclass(frozen=True)
 class ReadingRules:
     orders: int = 4  # longest character n-gram
-    table_bits: int = 17  # hashed n-grams of one order and language: the models' size is bounded by this
-    models: int = 8  # languages with a model of their own, the most frequent labels; the rest share one
+    table_bits: int = 17  # hashed n-grams of one order and language, in a collection of up to ``bits_rows`` texts
+    bits_rows: int = 1_000_000  # four times as many texts make the tables twice as large
+    cells: int = 1 << 24  # of all tables: what is collected and broadcast is bounded by this
+    models: int = 32  # labels with a model of their own, the most frequent ones; the rest share one
+    shortlist: int = 3  # models that a text is read with, after a look at its letters, if there are many more
     backoff: float = 3.0  # weight of the shorter n-gram against the count of the longer one's context
     fit_bins: int = 40  # bins of a score in an isotonic fit
     fit_rounds: int = 4  # rounds in which rarity and length are fitted in turn
@@ -27,6 +30,7 @@ class ReadingRules:
     demanding: float = 3.5  # fitted grade from which a text is of the highest level
 
 
+SURE = 2_000_000  # characters of a label from which a single text doesn't matter to its model
 BINS = 64  # of word surprisal, one bit each
 _SENTENCE = re.compile(r"[.!?;…]+(?=\s|$)|\n+|\s/\s|(?:^|\s)[-•*–](?=\s)")
 _WORD = re.compile(r"[^\W_]+")
@@ -64,25 +68,92 @@ def _count(rules: ReadingRules):
             texts = b.column("text").to_pylist()
             for m in np.unique(model).tolist():
                 codes, _, _ = _codes([sentences(texts[i]) for i in np.flatnonzero(model == m).tolist()])
-                table = tables.setdefault(m, np.zeros((rules.orders, size), np.int64))
+                table = tables.setdefault(m, np.zeros((rules.orders, size), np.int32))
                 for k, g in enumerate(_hashed(codes, rules.orders, rules.table_bits)):
                     table[k] += np.bincount(g, minlength=size)
         for m, table in tables.items():
             order, at = np.nonzero(table)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), m, "i4")), pa.array(order.astype("i4")), pa.array(at.astype("i4")), pa.array(table[order, at])], names=["model", "ord", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), m, "i4")), pa.array(order.astype("i4")), pa.array(at.astype("i4")), pa.array(table[order, at].astype("i8"))], names=["model", "ord", "bucket", "n"])
 
     return run
 
 
-def _bits(grams: list[np.ndarray], table: np.ndarray, backoff: float) -> np.ndarray:
-    """Surprisal of each character under the interpolated model."""
-    p = 0.02 / 256 + 0.98 * table[0][grams[0]] / max(1.0, float(table[0].sum()))
+def _contexts(grams: list[np.ndarray]) -> list[np.ndarray]:
+    """Bucket of what comes before each place, by order; the first place has none (-1)."""
+    return [np.r_[np.int64(-1), g[:-1]] for g in grams[:-1]]
+
+
+def _bits(grams: list[np.ndarray], contexts: list[np.ndarray], table: np.ndarray, backoff: float, own: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
+    """Surprisal of each character under the interpolated model; ``own`` counts of each place's n-gram and context are left out."""
+    total = max(1.0, float(table[0].sum()))
+    seen = lambda k: table[k][grams[k]] - (own[k][0] if own else 0)
+    p = 0.02 / 256 + 0.98 * np.maximum(seen(0), 0) / total
     for k in range(1, len(grams)):
-        context = np.concatenate([np.zeros(1), table[k - 1][grams[k - 1][:-1]].astype(float)])
-        p = (backoff * p + table[k][grams[k]]) / (context + backoff)
+        before = contexts[k - 1]
+        context = np.where(before >= 0, table[k - 1][before], 0.0)
+        if own:
+            context = np.maximum(context - own[k][1], 0)
+        p = (backoff * p + np.maximum(seen(k), 0)) / (context + backoff)
     return -np.log2(np.clip(p, 1e-12, 1.0))
 
 
+def _own_counts(grams: list[np.ndarray], contexts: list[np.ndarray], text: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """How often each place's n-gram and context occur in the place's own text."""
+
+    def times(bucket: np.ndarray, at: np.ndarray) -> np.ndarray:
+        keys, n = np.unique(text << bits | bucket, return_counts=True)
+        want = text << bits | np.maximum(at, 0)
+        place = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        return np.where((keys[place] == want) & (at >= 0), n[place], 0)
+
+    return [(times(g, g), times(grams[k - 1], contexts[k - 1]) if k else np.zeros(len(g))) for k, g in enumerate(grams)]
+
+
+def _read_apart(rules: ReadingRules, models_of):
+    """Per label: surprisal of its texts under its own model without the text itself, and under the best model of a larger label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, sums = models_of.value, {}
+        for b in batches:
+            for m, text in zip(b.column("model").to_pylist(), b.column("text").to_pylist()):
+                codes, _, per_text = _codes([sentences(text)])
+                if not per_text.sum():
+                    continue
+                grams = _hashed(codes, rules.orders, rules.table_bits)
+                contexts = _contexts(grams)
+                own = _bits(grams, contexts, models[m], rules.backoff, _own_counts(grams, contexts, np.zeros(len(codes), np.int64), rules.table_bits)).sum()
+                other = min(_bits(grams, contexts, x, rules.backoff).sum() for x in models[:m])
+                held = sums.setdefault(m, [0.0, 0.0])
+                held[0] += float(own)
+                held[1] += float(other)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), *(pa.array([x[i] for x in sums.values()], pa.float64()) for i in (0, 1))], names=["model", "own", "other"])
+
+    return run
+
+
+def _by_models(grams: list[np.ndarray], text: np.ndarray, n_texts: int, models: np.ndarray, rules: ReadingRules) -> tuple[np.ndarray, np.ndarray]:
+    """The model of least surprisal of each text, and the surprisal of each place under it."""
+    contexts = _contexts(grams)
+    best, total, bits = np.zeros(n_texts, int), np.full(n_texts, np.inf), np.zeros(len(text))
+    tried = np.ones((len(models), n_texts), bool)
+    if len(models) > 2 * rules.shortlist:
+        glance = np.stack([np.bincount(text, _bits(grams[:2], contexts[:1], m[:2], rules.backoff), n_texts) for m in models])
+        tried = glance <= np.sort(glance, axis=0)[rules.shortlist - 1]
+    for m, table in enumerate(models):
+        every = tried[m].all()
+        at = slice(None) if every else np.flatnonzero(tried[m][text])
+        here = _bits([g[at] for g in grams], [c[at] for c in contexts], table, rules.backoff)
+        cost = np.where(tried[m], np.bincount(text[at], here, n_texts), np.inf)
+        better = cost < total
+        best, total = np.where(better, m, best), np.where(better, cost, total)
+        keep = better[text[at]]
+        if every:
+            bits = np.where(keep, here, bits)
+        else:
+            bits[at[keep]] = here[keep]
+    return best, bits
+
+
 def _measure(rules: ReadingRules, models_of):
     """Per text: best model, histogram of word surprisals, and the distribution of sentence surprisals."""
 
@@ -95,23 +166,23 @@ def _measure(rules: ReadingRules, models_of):
                 continue
             grams = _hashed(codes, rules.orders, rules.table_bits)
             blank = codes == 32
-            word = np.cumsum(blank) - 1  # the word that a place belongs to; its leading blank counts as its own
-            n_words = len(blank.nonzero()[0]) - 1
+            n_words = int(blank.sum()) - 1
+            word = np.minimum(np.cumsum(blank) - 1, n_words - 1)  # the word that a place belongs to, with its leading blank; the last blank goes to the last word
             words_of_text = np.array([sum(map(len, d)) for d in found], np.int64)
             text_of_word = np.repeat(np.arange(len(found)), words_of_text)
             sentence_of_word = np.repeat(np.arange(len(per_sentence)), per_sentence)
             text_of_sentence = np.repeat(np.arange(len(found)), per_text)
-            every = np.stack([np.bincount(word, _bits(grams, m, rules.backoff), n_words + 1)[:n_words] for m in models])
-            total = np.stack([np.bincount(text_of_word, e, len(found)) for e in every])
-            best = total.argmin(0)
-            bits = every[best[text_of_word], np.arange(n_words)]
+            grams, word = [g[:-1] for g in grams], word[:-1]
+            best, places = _by_models(grams, text_of_word[word], len(found), models, rules)
+            bits = np.bincount(word, places, n_words)
+            total = np.bincount(text_of_word, bits, len(found))
             hist = np.bincount(text_of_word * BINS + np.minimum(bits, BINS - 1).astype(np.int64), minlength=len(found) * BINS).reshape(-1, BINS)
             per = np.bincount(sentence_of_word, bits, len(per_sentence))
             order = np.lexsort((per, text_of_sentence))
             per, start = per[order], np.cumsum(per_text) - per_text
             some = np.flatnonzero(per_text > 0)
             mid = (per[start[some] + (per_text[some] - 1) // 2] + per[start[some] + per_text[some] // 2]) / 2
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(some)), pa.array(best[some].astype("i4")), pa.array(words_of_text[some]), pa.array(total.min(0)[some] / words_of_text[some]), pa.array(mid), pa.array([x.tobytes() for x in hist[some].astype(np.uint32)], pa.binary())], names=["doc_id", "model", "n_words", "word_bits", "sentence_bits", "hist"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(some)), pa.array(best[some].astype("i4")), pa.array(words_of_text[some]), pa.array(total[some] / words_of_text[some]), pa.array(mid), pa.array([x.tobytes() for x in hist[some].astype(np.uint32)], pa.binary())], names=["doc_id", "model", "n_words", "word_bits", "sentence_bits", "hist"])
 
     return run
 
@@ -193,11 +264,37 @@ def _graded(maps: list[tuple[np.ndarray, np.ndarray]]):
     return run
 
 
+def _sized(rules: ReadingRules, rows: int, models: int) -> ReadingRules:
+    """Tables that grow with the square root of the collection, as the number of distinct n-grams does, within ``cells``."""
+    bits = rules.table_bits + max(0, int(np.log2(max(1, rows) / rules.bits_rows) // 2))
+    return replace(rules, table_bits=max(rules.table_bits, min(bits, int(np.log2(rules.cells / (models * rules.orders))))))
+
+
+def _languages(texts: DataFrame, tables: np.ndarray, rules: ReadingRules) -> np.ndarray:
+    """Which labels are languages: the largest, and each whose texts its own model reads better than those of larger labels.
+
+    A text is left out of its label's model for that, since a small model knows its own texts by heart. In a large
+    label one text counts for nothing, so its model is kept unasked: texts choose their model one by one later.
+    """
+    chars = tables[:, 0].sum(1)
+    order = np.argsort(-chars, kind="stable")
+    unsure = [int(m) for m in order[1:] if 0 < chars[m] < SURE]
+    kept = [int(m) for m in order if chars[m] > 0 and m not in unsure] or [int(order[0])]
+    if unsure:
+        place = {int(m): i for i, m in enumerate(order)}
+        ranked = F.coalesce(*[F.when(F.col("model") == m, place[m]) for m in unsure]).cast("int")
+        models = texts.sparkSession.sparkContext.broadcast(tables[order])
+        sums = texts.filter(F.col("model").isin(unsure)).select(ranked.alias("model"), "text").mapInArrow(_read_apart(rules, models), "model int, own double, other double").groupBy("model").agg(F.sum("own").alias("own"), F.sum("other").alias("other")).collect()
+        kept += [int(order[r.model]) for r in sums if r.own < r.other]
+    return np.array(sorted(kept))
+
+
 def reading_levels(documents: DataFrame, labels: DataFrame, language: str | None = None, rules: ReadingRules = ReadingRules()) -> DataFrame:
     """(doc_id, n_words, word_bits, sentence_bits, rarity, length, level_score, level) of every text with a word.
 
     documents(doc_id bigint, text string[, language]); labels(doc_id, grade). A character n-gram model is trained
-    on all texts of each frequent language label; a text is read with the model that finds it least surprising,
+    on all texts of each language label (the most frequent ``models`` - 1, the others together), and kept if it reads
+    its label's texts better than the models of larger labels do, however rare the label is; a text is read with the model that finds it least surprising,
     whatever its label says. Two scores come from the distribution of surprisal: how rare its words are among
     those of its language, and how much a sentence holds. Isotonic regression maps either to a grade, the smaller
     one counts, since neither alone makes a text demanding, and a last regression sets it against the grades. The
@@ -208,16 +305,18 @@ def reading_levels(documents: DataFrame, labels: DataFrame, language: str | None
     spark = documents.sparkSession
     label = F.lower(F.substring(F.trim(F.col(f"`{language}`").cast("string")), 1, 2)) if language else F.lit("")
     texts = documents.filter("text is not null").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.coalesce(label, F.lit("?")).alias("lang"))
-    top = [r.lang for r in texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rules.models - 1).collect()]
+    sizes = {r.lang: r["count"] for r in texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rules.models - 1).collect()}
+    top = list(sizes)
     number = F.lit(len(top))
     for i, name in enumerate(top):
         number = F.when(F.col("lang") == name, i).otherwise(number)
-    counts = texts.select(number.cast("int").alias("model"), "text").mapInArrow(_count(rules), "model int, ord int, bucket int, n bigint").groupBy("model", "ord", "bucket").agg(F.sum("n").alias("n")).toArrow()  # models * orders * 2 ** table_bits rows at most
+    texts = texts.withColumn("model", number.cast("int"))
+    rules = _sized(rules, sum(sizes.values()), len(top) + 1)
+    counts = texts.select("model", "text").mapInArrow(_count(rules), "model int, ord int, bucket int, n bigint").groupBy("model", "ord", "bucket").agg(F.sum("n").alias("n")).toArrow()  # rules.cells rows at most
     tables = np.zeros((len(top) + 1, rules.orders, 1 << rules.table_bits), np.float32)
     tables[tuple(counts[c].to_numpy() for c in ("model", "ord", "bucket"))] = counts["n"].to_numpy()
-    # a model needs some text of its own
-    enough = tables[:, 0].sum(1) >= max(1.0, 0.002 * tables[:, 0].sum())
-    tables = tables[enough] if enough.any() else tables[:1]
+    del counts
+    tables = tables[_languages(texts, tables, rules)]
     measured = materialize(texts.select("doc_id", "text").mapInArrow(_measure(rules, spark.sparkContext.broadcast(tables)), "doc_id bigint, model int, n_words bigint, word_bits double, sentence_bits double, hist binary"), "surprisal")
     hist = np.zeros((len(tables), BINS))
     for r in measured.select("model", "hist").mapInArrow(_total_hist, "model int, bin int, n bigint").groupBy("model", "bin").agg(F.sum("n").alias("n")).collect():

@@ -18,7 +18,8 @@ HEAVY_PARTS = 2000
 def top_n(df: DataFrame, keys: list[str], score: str, tie: str, n: int, band_shares: tuple[float, ...] = BAND_SHARES) -> DataFrame:
     """The ``n`` rows of highest ``score`` in every group, ties going to the smaller ``tie``; columns keys, score, tie.
 
-    Rows are taken in bands of falling score. In each band the groups that already have n rows are dropped: heavy
+    The needed columns are written once, each task's rows in order of score, so that a band of falling score reads its
+    own pages of every file only. Rows are taken band by band. In each band the groups that already have n rows are dropped: heavy
     ones by a broadcast anti-join before anything is sorted (at most HEAVY_PARTS groups), the others after the
     band was cut to n rows a group in every task. An exact ranking over what was kept decides at the end.
 
@@ -30,6 +31,7 @@ def top_n(df: DataFrame, keys: list[str], score: str, tie: str, n: int, band_sha
     rows = df.select(*[F.col(f"`{c}`").alias(a) for c, a in held.items()]).dropna(subset=[*k, s]).filter(~F.isnan(F.col(s).cast("double")))
     order = (F.col(s) + F.lit(0)).desc(), F.col(t).asc_nulls_last()
     cut = lambda d: d.withColumn("__rn", F.row_number().over(Window.partitionBy(*k).orderBy(*order))).filter(F.col("__rn") <= n).drop("__rn")
+    rows = materialize(rows.sortWithinPartitions(F.col(s).desc()), "scored")
     numeric = rows.withColumn(s, F.col(s).cast("double"))
     total = rows.count()
     edges = sorted(set(numeric.approxQuantile(s, [1 - x for x in band_shares], 0.002)), reverse=True) if total and band_shares else []

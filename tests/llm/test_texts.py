@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from lodestrata.llm.leaks import LeakRules, PassageIndex, find_leaks, fold
 from lodestrata.llm.mixing import fill, mix
+from lodestrata.llm import reading
 from lodestrata.llm.reading import fit_levels, ReadingRules, pool_adjacent, reading_levels, sentences
 
 WORDS = "red blue stone river market counts keeps a the lamp window under garden price of storm quiet every line".split()
@@ -151,10 +152,10 @@ def test_sentences_end_at_lines_and_list_items():
     assert sentences("In 25.5 units.") == [["in", "25", "5", "units"]]
 
 
-def levelled(rng, n):
+def levelled(rng, n, letters="abcdefghijlmnopqrstuvxyz", common="abdegilmnorst"):
     """Documents of four levels and the two decoys: long words alone, long sentences alone."""
-    easy = ["".join(rng.choice(list("abdegilmnorst"), rng.integers(2, 5))) for _ in range(150)]
-    hard = ["".join(rng.choice(list("abcdefghijlmnopqrstuvxyz"), rng.integers(10, 15))) for _ in range(400)]
+    easy = ["".join(rng.choice(list(common), rng.integers(2, 5))) for _ in range(150)]
+    hard = ["".join(rng.choice(list(letters), rng.integers(10, 15))) for _ in range(400)]
 
     def doc(words, share, length):
         return " ".join(" ".join((hard if rng.random() < share else easy)[rng.integers(150)] for _ in range(length)) + "." for _ in range(words // length))
@@ -180,6 +181,39 @@ def test_demanding_texts_are_told_from_decoys(spark):
     assert 5000 not in got and 5001 not in got and got[5003].level == got[0].level and 5004 in got
 
 
+def test_a_rare_language_keeps_its_model_and_an_odd_label_does_not(spark):
+    rng = np.random.default_rng(7)
+    docs = [(i, t, "aa" if rng.random() > 0.01 else "odd", k, g) for i, t, k, g in levelled(rng, 9000)]
+    rare = [(10_000 + i, t, "zz", k, g) for i, t, k, g in levelled(rng, 40, "αβγδεζηθικλμνξοπρστυφχψω", "αδεγιλμνορστ") if k in "14"][:7]
+    chars = lambda rows: sum(len(r[1]) for r in rows)
+    assert chars(rare) < 0.0011 * chars(docs) and {k for *_, k, _ in rare} == {"1", "4"}
+    d = spark.createDataFrame([r[:3] for r in docs + rare], "doc_id bigint, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(r[0], r[4]) for r in docs if r[0] % 4 == 0], "doc_id bigint, grade int")
+    got = {r.doc_id: r.level for r in reading_levels(d, labels, "lang").collect()}
+    assert [got[r[0]] == 4 for r in rare] == [r[3] == "4" for r in rare]
+    odd = [(got[r[0]] == 4) == (r[4] == 4) for r in docs if r[2] == "odd"]
+    assert sum(odd) / len(odd) > 0.95
+
+
+def test_many_models_are_tried_from_a_shortlist():
+    rng = np.random.default_rng(3)
+    rules = ReadingRules(orders=3, table_bits=10)
+    models = rng.poisson(2.0, (9, 3, 1024)).astype(np.float32)
+    grams = [rng.integers(0, 1024, 500) for _ in range(3)]
+    text = np.sort(rng.integers(0, 7, 500))
+    models[4, :, :] += 0.001
+    whole = reading._by_models(grams, text, 7, models, ReadingRules(orders=3, table_bits=10, shortlist=9))
+    some = reading._by_models(grams, text, 7, models, rules)
+    same = whole[0] == some[0]
+    assert same.any() and np.allclose(whole[1][same[text]], some[1][same[text]])
+
+
+def test_tables_grow_with_the_collection():
+    base = ReadingRules()
+    assert reading._sized(base, 100_000, 5).table_bits == 17 and reading._sized(base, 16_000_000, 5).table_bits == 19
+    assert reading._sized(base, 10**10, 8).table_bits == 19 and reading._sized(base, 10**10, 32).table_bits == 17
+
+
 def test_levels_without_labels_or_texts(spark):
     none = spark.createDataFrame([], "doc_id bigint, grade int")
     assert reading_levels(spark.createDataFrame([], "doc_id bigint, text string"), none).count() == 0
