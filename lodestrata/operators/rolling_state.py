@@ -152,8 +152,7 @@ class RollingState:
             late = self._spread(merged.filter(F.col("touched") & (F.unix_date("day") <= end)), end).withColumn("version", F.lit(version))
             past = materialize(self._added(past.unionByName(late), ["entity", "day"], version=F.max("version"), latest=F.max("latest")), "past")
         if new_end > end:
-            arrivals = merged.filter(F.unix_date("day") > end)
-            block = self._block(amounts, past.filter(F.unix_date("day") == end), arrivals, end, new_end).withColumn("version", F.lit(version))
+            block = self._block(amounts, past.filter(F.unix_date("day") == end), end, new_end).withColumn("version", F.lit(version))
             past = past.unionByName(block)
         written = self._write(past, "totals", version, len(reach) + part(new_end) - part(end))
         return replace(amounts, version=version, end=new_end, total_parts=self.total_parts | written)._kept()
@@ -196,33 +195,29 @@ class RollingState:
     def _differences(self, f: str) -> list[Column]:
         return [F.coalesce(a, F.lit(0)).cast(t).__sub__(F.coalesce(b, F.lit(0)).cast(t)).cast(t).alias(f"{k}_{f}") for a, b, t, k in zip(self._terms(f), self._terms(_old(f)), (self._sum, "bigint", "bigint"), "sni")]
 
-    def _block(self, amounts: RollingState, opening: DataFrame, arrivals: DataFrame, end: int, new_end: int) -> DataFrame:
+    def _block(self, amounts: RollingState, opening: DataFrame, end: int, new_end: int) -> DataFrame:
         """Totals of the days after ``end`` up to ``new_end``: the totals of ``end``, joined with what arrives and what expires.
 
-        One exchange by entity, of which a block has at most as many rows as three a day.
+        One exchange by entity, of each amount once and of the opening totals; an entity has at most three changes a day.
         """
         longest = max(self.periods)
         day = F.unix_date("day")
-        terms = {f: self._terms(f) for f in self.fields}
-        blank = dict.fromkeys(self._columns, F.lit(0))
-
-        def change(rows: DataFrame, at: Column, latest: Column, values: dict[str, Column]) -> DataFrame:
-            return rows.select("entity", at.alias("day"), latest.alias("latest"), *[F.coalesce((blank | values)[c], F.lit(0)).cast(t).alias(c) for c, t in self._columns.items()])
-
-        def moved(sign: int, periods: tuple[int, ...], rows: int) -> dict[str, Column]:
-            out = {"rows": F.lit(rows)}
-            for f, (s, n, i) in terms.items():
-                for w in periods:
-                    out |= {_s(f, w): s * sign, _n(f, w): n * sign, _i(f, w): i * sign}
-            return out
-
-        parts = [opening.select("entity", "day", "latest", *self._columns), change(arrivals, F.col("day"), F.col("day"), moved(1, self.periods, 1))]
-        for w in self.periods:
-            # what was there before the block, and what comes and goes within it
-            gone = amounts._read("amounts", {d // self.part_days for d in range(end + 1 - w, new_end + 1 - w)}).filter(day.between(end + 1 - w, new_end - w))
-            parts.append(change(gone, F.date_add("day", w), F.lit(None).cast("date"), moved(-1, (w,), -1 if w == longest else 0)))
-        changes = reduce(DataFrame.unionByName, parts).repartition("entity")
-        changes = self._added(changes, ["entity", "day"], latest=F.max("latest"))
+        held = amounts._read("amounts", {d // self.part_days for d in range(end + 1 - longest, new_end + 1)}).filter(day > end - longest)
+        nothing = {c: F.lit(None).cast(t).alias(c) for c, t in self._columns.items()}
+        rows = held.select("entity", "day", F.lit(None).cast("date").alias("latest"), F.lit(False).alias("open"), *self.fields, *nothing.values())
+        rows = rows.unionByName(opening.select("entity", "day", "latest", F.lit(True).alias("open"), *[F.lit(None).cast("double").alias(f) for f in self.fields], *self._columns))
+        # a kind of change: the opening totals (-1), an arrival (0), or the period that an amount leaves
+        kinds = F.array(*[F.when(~F.col("open") & (day + w > end) & (day + w <= new_end), F.lit(w)) for w in (0, *self.periods)], F.when(F.col("open"), F.lit(-1)))
+        rows = rows.repartition("entity").withColumn("kind", F.explode(F.filter(kinds, lambda x: x.isNotNull()))).withColumn("at", F.date_add("day", F.greatest("kind", F.lit(0))))
+        sign = lambda w: F.when(F.col("kind") == 0, 1).when(F.col("kind") == w, -1).otherwise(0)
+        change = {"rows": sign(longest)}
+        for f in self.fields:
+            s, n, i = self._terms(f)
+            for w in self.periods:
+                change |= {_s(f, w): F.when(sign(w) == 1, s).when(sign(w) == -1, -s), _n(f, w): n * sign(w), _i(f, w): i * sign(w)}
+        both = [F.coalesce(F.col(c), change[c], F.lit(0)).cast(t).alias(c) for c, t in self._columns.items()]
+        latest = F.when(F.col("kind") == 0, F.col("day")).otherwise(F.col("latest")).alias("latest")
+        changes = self._added(rows.select("entity", F.col("at").alias("day"), latest, *both), ["entity", "day"], latest=F.max("latest"))
         order = Window.partitionBy("entity").orderBy("day")
         running = order.rowsBetween(Window.unboundedPreceding, 0)
         sums = changes.select("entity", "day", F.max("latest").over(running).alias("latest"), F.lead("day").over(order).alias("next"), *[F.sum(c).over(running).cast(t).alias(c) for c, t in self._columns.items()])
