@@ -208,13 +208,14 @@ class RollingState:
         rows = rows.unionByName(opening.select("entity", "day", "latest", F.lit(True).alias("open"), *[F.lit(None).cast("double").alias(f) for f in self.fields], *self._columns))
         # a kind of change: the opening totals (-1), an arrival (0), or the period that an amount leaves
         kinds = F.array(*[F.when(~F.col("open") & (day + w > end) & (day + w <= new_end), F.lit(w)) for w in (0, *self.periods)], F.when(F.col("open"), F.lit(-1)))
-        rows = rows.repartition("entity").withColumn("kind", F.explode(F.filter(kinds, lambda x: x.isNotNull()))).withColumn("at", F.date_add("day", F.greatest("kind", F.lit(0))))
+        terms = [x.alias(f"{k}_{f}") for f in self.fields for x, k in zip(self._terms(f), "sni")]
+        rows = rows.repartition("entity").select("entity", "day", "latest", "open", *self._columns, *terms).withColumn("kind", F.explode(F.filter(kinds, lambda x: x.isNotNull()))).withColumn("at", F.date_add("day", F.greatest("kind", F.lit(0))))
         sign = lambda w: F.when(F.col("kind") == 0, 1).when(F.col("kind") == w, -1).otherwise(0)
         change = {"rows": sign(longest)}
         for f in self.fields:
-            s, n, i = self._terms(f)
+            s, n, i = (F.col(f"{k}_{f}") for k in "sni")
             for w in self.periods:
-                change |= {_s(f, w): F.when(sign(w) == 1, s).when(sign(w) == -1, -s), _n(f, w): n * sign(w), _i(f, w): i * sign(w)}
+                change |= {_s(f, w): F.when(F.col("kind") == 0, s).when(F.col("kind") == w, -s), _n(f, w): n * sign(w), _i(f, w): i * sign(w)}
         both = [F.coalesce(F.col(c), change[c], F.lit(0)).cast(t).alias(c) for c, t in self._columns.items()]
         latest = F.when(F.col("kind") == 0, F.col("day")).otherwise(F.col("latest")).alias("latest")
         changes = self._added(rows.select("entity", F.col("at").alias("day"), latest, *both), ["entity", "day"], latest=F.max("latest"))
