@@ -340,7 +340,7 @@ def hashed_uniform(*parts: Column | str) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def hashed_normal(*parts: Column | str) -> Column:
+def md5_normal(*parts: Column | str) -> Column:
     """A standard normal number that the parts alone fix."""
     u, v = hashed_uniform(*parts, F.lit("u")), hashed_uniform(*parts, F.lit("v"))
     return F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)

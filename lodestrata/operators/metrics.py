@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions.registry import both, percent_rank, zscore
+from lodestrata.functions.registry import both, md5_normal, percent_rank, zscore
 
 YEAR = 252
 
@@ -161,7 +161,7 @@ def hashed_noise(kind: str, scale: float, dof: int, *parts: Column) -> Column:
 
 def noise_stability(df: DataFrame, scale: float = 0.1, seed: int = 7) -> DataFrame:
     """(datetime, pfs): correlation of scores with themselves times 1 + noise, which a hash of the row fixes."""
-    return clean(df).withColumn("noisy", F.col("score") * (1 + scale * hashed_normal(F.lit(seed)))).groupBy("datetime").agg(correlation(F.col("score"), F.col("noisy")).alias("pfs"))
+    return clean(df).withColumn("noisy", F.col("score") * (1 + scale * md5_normal("instrument", F.unix_micros(F.col("datetime").cast("timestamp")), F.lit(seed)))).groupBy("datetime").agg(correlation(F.col("score"), F.col("noisy")).alias("pfs"))
 
 
 def covariance(df: DataFrame, columns: list[str]) -> np.ndarray:

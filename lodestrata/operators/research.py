@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.dsl.tree import extent, fields, parse, to_text
-from lodestrata.functions.registry import percent_rank, zscore
+from lodestrata.functions.registry import hashed_uniform, percent_rank, zscore
 from lodestrata.operators.metrics import correlation, finite, hashed_noise, lagged_days
 from lodestrata.plans.compiler import evaluate
 
@@ -95,7 +95,7 @@ def permuted(df: DataFrame, seed: int = 7) -> DataFrame:
     """Scores dealt anew among the instruments of a day: the null of a cross-sectional signal."""
     by = lambda *o: F.row_number().over(Window.partitionBy("datetime").orderBy(*o))
     names = df.select("datetime", "instrument", "label", by("instrument").alias("__k"))
-    values = df.select("datetime", "score", by(F.xxhash64("datetime", "instrument", F.lit(seed)), "instrument").alias("__k"))
+    values = df.select("datetime", "score", by(hashed_uniform("instrument", F.unix_micros(F.col("datetime").cast("timestamp")), F.lit(seed)), "instrument").alias("__k"))
     return names.join(values, ["datetime", "__k"]).drop("__k")
 
 

@@ -15,7 +15,7 @@ from lodestrata.operators import processors as P
 from lodestrata.operators import programs as G
 from lodestrata.operators import research as R
 from lodestrata.plans.compiler import evaluate
-from lodestrata.plans.engine_queries import FRAME_SQL, LABEL, PANEL_SQL, SCORE, _LAG, _WEIGHTS_SQL, _r, _rounded, frame, market, panel, same_rounding
+from lodestrata.plans.engine_queries import _CORR, _HASHED, FRAME_SQL, LABEL, PANEL_SQL, SCORE, _LAG, _WEIGHTS_SQL, _r, _rounded, frame, market, panel, same_rounding
 from lodestrata.sources import panel as S
 from lodestrata.sources.frequency import read_at
 from lodestrata.streaming import windows as W
@@ -160,14 +160,21 @@ def hf_bars_5min(spark: SparkSession, sf: str) -> DataFrame:
 _POOL = {"mom": SCORE, "mom2": "Sub(Div($close,Ref($close,5)),1)", "vol": "Std($change, 10)", "rev": "Mean($close, 5) / $close"}
 
 
-@query("pool_ics")
+_POOL_SQL = f"{PANEL_SQL}, f AS (SELECT datetime, instrument, close / nullif(lag(close, 5) OVER w, 0) - 1 AS mom, CASE WHEN count(change) OVER v >= 2 THEN stddev_samp(change) OVER v END AS vol, avg(close) OVER u / nullif(close, 0) AS rev, lead(close) OVER w / nullif(close, 0) - 1 AS label FROM panel WINDOW w AS (PARTITION BY instrument ORDER BY cal_idx), v AS (PARTITION BY instrument ORDER BY cal_idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), u AS (PARTITION BY instrument ORDER BY cal_idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))"
+_POOL_ICS = " UNION ALL ".join(f"SELECT '{n}' AS name, datetime, {_CORR.format(x=x, y='label')} AS ic FROM f GROUP BY datetime" for n, x in (("mom", "mom"), ("mom2", "mom"), ("vol", "vol"), ("rev", "rev")))
+
+
+@query("pool_ics", f"{_POOL_SQL}\nSELECT name, round(avg(ic), 6) + 0.0 AS ic, round(avg(ic) / nullif(stddev_samp(ic), 0), 6) + 0.0 AS icir, count(ic) AS n FROM ({_POOL_ICS}) GROUP BY name")
 def pool_ics(spark: SparkSession, sf: str) -> DataFrame:
-    return G.pool_ics(panel(spark, sf), _POOL, LABEL)
+    return _rounded(G.pool_ics(panel(spark, sf), _POOL, LABEL))
+
+
+_Z = "coalesce(({0} - avg({0}) OVER d) / CASE WHEN stddev_pop({0}) OVER d < 1e-8 THEN 1.0 ELSE stddev_pop({0}) OVER d END, 0.0)"
 
 
-@query("pool_combined_ic")
+@query("pool_combined_ic", f"{_POOL_SQL}, z AS (SELECT datetime, ({_Z.format('mom')} + {_Z.format('vol')}) / 2 AS score, label FROM f WINDOW d AS (PARTITION BY datetime))\nSELECT datetime, round({_CORR.format(x='score', y='label')}, 6) + 0.0 AS ic FROM z GROUP BY datetime")
 def pool_combined_ic(spark: SparkSession, sf: str) -> DataFrame:
-    return G.evaluate_pool(panel(spark, sf), {"mom": SCORE, "vol": "Std($change, 10)"}, LABEL)
+    return _rounded(G.evaluate_pool(panel(spark, sf), {"mom": SCORE, "vol": "Std($change, 10)"}, LABEL).select("datetime", "ic"))
 
 
 @query("diversity")
@@ -187,7 +194,8 @@ def hof_selection(spark: SparkSession, sf: str) -> DataFrame:
     f = market(spark, sf, _POOL)
     corr = G.mutual_ics(f, list(_POOL))
     names = list(_POOL)
-    kept = G.hall_of_fame(G.np.arange(len(names), 0, -1.0), corr, 3)
+    ics = {r.name: r.ic for r in G.pool_ics(panel(spark, sf), _POOL, LABEL).collect()}  # one row a formula
+    kept = G.hall_of_fame(G.np.array([abs(ics[n] or 0.0) for n in names]), corr, 3)
     return spark.createDataFrame([(names[i],) for i in kept], "name string")
 
 
@@ -370,14 +378,20 @@ def grid_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(R.nearest_on_grid(_binned(spark, sf), "ic", "mean_daily_coverage_ratio"))
 
 
-@query("liquidity_tilt")
+_TILT = f"{PANEL_SQL}, f AS (SELECT datetime, instrument, close / nullif(lag(close, 5) OVER w, 0) - 1 AS score, avg(amount) OVER u AS amount FROM panel WINDOW w AS (PARTITION BY instrument ORDER BY cal_idx), u AS (PARTITION BY instrument ORDER BY cal_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), p AS (SELECT datetime, abs({_Z.format('score')}) AS w, CASE WHEN amount IS NOT NULL THEN {_PCT.format(x='amount')} END AS pct, CASE WHEN score IS NOT NULL THEN {_PCT.format(x='score')} END AS p FROM f WINDOW d AS (PARTITION BY datetime))"
+
+
+@query("liquidity_tilt", f"{_TILT}\nSELECT datetime, round(sum(w * pct) / CASE WHEN sum(w) > 0 THEN sum(w) END, 6) + 0.0 AS footprint, round(avg(CASE WHEN p > 0.8 THEN pct END) - avg(CASE WHEN p <= 0.2 THEN pct END), 6) + 0.0 AS tilt, round(abs({_CORR.format(x='p', y='pct')}), 6) + 0.0 AS rank_corr FROM p GROUP BY datetime")
 def liquidity_tilt(spark: SparkSession, sf: str) -> DataFrame:
-    return R.footprint(market(spark, sf, {"score": SCORE, "amount": "Mean($amount, 20)"}), "amount")
+    return _rounded(R.footprint(market(spark, sf, {"score": SCORE, "amount": "Mean($amount, 20)"}), "amount"))
+
+
+_DEALT = _HASHED.format(text="concat_ws('|', instrument, epoch_us(datetime), 7)")
 
 
-@query("permutation_null")
+@query("permutation_null", f"{FRAME_SQL}, a AS (SELECT datetime, label, row_number() OVER (PARTITION BY datetime ORDER BY instrument) AS k FROM frame), b AS (SELECT datetime, score, row_number() OVER (PARTITION BY datetime ORDER BY {_DEALT}, instrument) AS k FROM frame)\nSELECT datetime, round({_CORR.format(x='score', y='label')}, 6) + 0.0 AS ic FROM a JOIN b USING (datetime, k) GROUP BY datetime")
 def permutation_null(spark: SparkSession, sf: str) -> DataFrame:
-    return M.daily_ic(R.permuted(frame(spark, sf)))
+    return _rounded(M.daily_ic(R.permuted(frame(spark, sf))).select("datetime", "ic"))
 
 
 @query("execution_trend")

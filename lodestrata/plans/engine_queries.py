@@ -15,6 +15,7 @@ from lodestrata.operators import metrics as M
 from lodestrata.operators import exchange as X
 from lodestrata.operators import portfolio as B
 from lodestrata.plans.compiler import evaluate
+from lodestrata.plans.formula_sql import formulas_sql
 from lodestrata.sources import panel as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -409,7 +410,11 @@ def rre_common(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(M.rank_stability_common(frame(spark, sf)))
 
 
-@query("pfs_noise")
+_NOISE_KEY = "concat_ws('|', instrument, epoch_us(datetime), 7, '{}')"
+_NOISE = f"sqrt(-2 * ln({_HASHED.format(text=_NOISE_KEY.format('u'))})) * cos(2 * pi() * {_HASHED.format(text=_NOISE_KEY.format('v'))})"
+
+
+@query("pfs_noise", f"{FRAME_SQL}, n AS (SELECT datetime, score AS x, score * (1 + 0.1 * {_NOISE}) AS y FROM frame)\nSELECT datetime, round({_CORR.format(x='x', y='y')}, 6) + 0.0 AS pfs FROM n GROUP BY datetime")
 def pfs_noise(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(M.noise_stability(frame(spark, sf)))
 
@@ -597,9 +602,22 @@ def pool_signal(spark: SparkSession, sf: str) -> DataFrame:
     return B.combine_signals(f, {"a": 0.7, "b": -0.3}).select("instrument", "cal_idx", _r("score"))
 
 
-@query("alpha158")
-def alpha158(spark: SparkSession, sf: str) -> DataFrame:
-    return market(spark, sf, catalogs.catalog_158())
+#: Decimal places of whole catalogs, of which a million values are compared.
+_PLACES = 4
+
+
+def _catalog_query(name: str, formulas: dict[str, str]) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        scale = float(10**_PLACES)
+        cut = lambda x: F.when(F.abs(x) < 1e10, F.floor(x * scale + 0.4999) / scale).otherwise(F.floor(x / 1e9 + 0.4999) * 1e9)
+        return market(spark, sf, formulas).select("instrument", "cal_idx", *[cut(F.col(c)).alias(c) for c in formulas])
+
+    QUERIES[name] = run
+    ORACLE[name] = f"{PANEL_SQL}\n{formulas_sql(formulas, 'panel', _PLACES)}"
+
+
+_catalog_query("alpha158", catalogs.catalog_158())
+_catalog_query("alpha360", catalogs.catalog_360())
 
 
 @query("alpha158_subset", f"{PANEL_SQL}\nSELECT instrument, cal_idx, round((close - open) / nullif(open, 0), 6) + 0.0 AS \"KMID\", round((high - CASE WHEN open IS NOT NULL AND close IS NOT NULL THEN greatest(open, close) END) / nullif(high - low + 1e-12, 0), 6) + 0.0 AS \"KUP2\", round(avg(close) OVER w20 / nullif(close, 0), 6) AS \"MA20\", round(max(high) OVER w60 / nullif(close, 0), 6) AS \"MAX60\", round((close - min(low) OVER w10) / nullif(max(high) OVER w10 - min(low) OVER w10 + 1e-12, 0), 6) + 0.0 AS \"RSV10\", round(min(low) OVER w5 / nullif(close, 0), 6) AS \"MIN5\" FROM panel {windows('w20 w60 w10 w5')}")
@@ -609,11 +627,6 @@ def alpha158_subset(spark: SparkSession, sf: str) -> DataFrame:
     return market(spark, sf, {n: every[n] for n in names}).select("instrument", "cal_idx", *[_r(n) for n in names])
 
 
-@query("alpha360")
-def alpha360(spark: SparkSession, sf: str) -> DataFrame:
-    return market(spark, sf, catalogs.catalog_360())
-
-
 @query("alpha360_subset", f"{PANEL_SQL}\nSELECT instrument, cal_idx, round(lag(close, 59) OVER w / nullif(close, 0), 6) AS \"CLOSE59\", round(open / nullif(close, 0), 6) AS \"OPEN0\", round(lag(vwap, 3) OVER w / nullif(close, 0), 6) AS \"VWAP3\" FROM panel WINDOW w AS (PARTITION BY instrument ORDER BY cal_idx)")
 def alpha360_subset(spark: SparkSession, sf: str) -> DataFrame:
     every = catalogs.catalog_360()
