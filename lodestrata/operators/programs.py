@@ -174,6 +174,9 @@ def rolling_regression(frame: DataFrame, features: list[str], label: str, length
 
 
 def evaluate_pool(panel: DataFrame, formulas: dict[str, str], label: str) -> DataFrame:
-    """Daily ICs of one combined signal: the mean of the formulas' daily z-scores."""
+    """Daily ICs of one combined signal: the mean of the formulas' daily z-scores, to 12 places.
+
+    Where the z-scores cancel each other on a day, the signal is constant and has no IC, not that of what rounding left.
+    """
     frame = evaluate(panel, {**{k: f"CSZScore({t})" for k, t in formulas.items()}, "label": label})
-    return daily_ic(frame.select("datetime", "instrument", (sum(F.col(k) for k in formulas) / len(formulas)).alias("score"), "label"))
+    return daily_ic(frame.select("datetime", "instrument", F.round(sum(F.col(k) for k in formulas) / len(formulas), 12).alias("score"), "label"))

@@ -172,7 +172,7 @@ def pool_ics(spark: SparkSession, sf: str) -> DataFrame:
 _Z = "coalesce(({0} - avg({0}) OVER d) / CASE WHEN stddev_pop({0}) OVER d < 1e-8 THEN 1.0 ELSE stddev_pop({0}) OVER d END, 0.0)"
 
 
-@query("pool_combined_ic", f"{_POOL_SQL}, z AS (SELECT datetime, ({_Z.format('mom')} + {_Z.format('vol')}) / 2 AS score, label FROM f WINDOW d AS (PARTITION BY datetime))\nSELECT datetime, round({_CORR.format(x='score', y='label')}, 6) + 0.0 AS ic FROM z GROUP BY datetime")
+@query("pool_combined_ic", f"{_POOL_SQL}, z AS (SELECT datetime, (({_Z.format('mom')} + {_Z.format('vol')}) / 2)::DECIMAL(20, 12)::DOUBLE AS score, label FROM f WINDOW d AS (PARTITION BY datetime))\nSELECT datetime, round({_CORR.format(x='score', y='label')}, 6) + 0.0 AS ic FROM z GROUP BY datetime")
 def pool_combined_ic(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(G.evaluate_pool(panel(spark, sf), {"mom": SCORE, "vol": "Std($change, 10)"}, LABEL).select("datetime", "ic"))
 
